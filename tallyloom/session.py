@@ -57,9 +57,8 @@ def cut(df: DataFrame, path: str | None = None) -> DataFrame:
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table written by cut() that no plan needs any more."""
-    jvm, p = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    del jvm
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
