@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import entity_matching, format_duplicates, leak_free_splits, mixture, packing, pairwise_ranking, reading_level
+from tallyloom.llm import defects, entity_matching, format_duplicates, leak_free_splits, mixture, packing, pairwise_ranking, reading_level
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,14 @@ def p3_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where("id = first_id").select("record_table", "first_id", "copies")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects.project(spark, sf_dir).where("nth = 1").select("row_id", "side", "defect")
+
+
+def p4_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects.project(spark, sf_dir)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise_ranking.project(spark, sf_dir).where("rank <= 8").select("item_id")
 
