@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_RANK = Window.partitionBy("prompt_id")
-
 
 def scores(p: DataFrame) -> DataFrame:
     """J1, J1b, J2, J3, J3b in one aggregate: every score of every response."""
@@ -20,7 +18,7 @@ def scores(p: DataFrame) -> DataFrame:
 
 def rank(df: DataFrame, score: str, name: str) -> DataFrame:
     """0 is best, ties by index."""
-    return df.withColumn(name, F.row_number().over(_RANK.orderBy(F.desc(score), "i")) - 1)
+    return df.withColumn(name, F.row_number().over(Window.partitionBy("prompt_id").orderBy(F.desc(score), "i")) - 1)
 
 
 def winners(p: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("social",)
+MODULES = ("social", "pairs", "cycles")
 
 
 def _modules():

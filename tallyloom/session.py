@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +28,23 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a context: their Python workers need it for the Arrow functions."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tallyloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="tallyloom-")) / "tallyloom.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(at))
+    sc._tallyloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A table of the data directory; naming the columns keeps the scan narrow from the start."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
