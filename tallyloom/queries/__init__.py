@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("social", "pairs", "cycles")
+MODULES = ("social", "pairs", "cycles", "scoring", "calibration")
 
 
 def _modules():
