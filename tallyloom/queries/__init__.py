@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("social", "pairs", "cycles", "scoring", "calibration")
+MODULES = ("social", "pairs", "cycles", "scoring", "calibration", "statistics", "text", "sampling", "sources", "streams")
 
 
 def _modules():

@@ -55,13 +55,13 @@ def i4(s, d):
     return k.select("row_id", r6(F.when(F.col("winner") < F.col("loser"), F.col("ab")).otherwise(F.col("ba")) / (F.col("ab") + F.col("ba"))).alias("p"))
 
 
-@R.add("i5_winrate_grid", sql("outc", "SELECT 1").replace(" SELECT 1", ", " + BW + """, itm AS (SELECT DISTINCT prompt, x FROM (SELECT prompt, winner AS x FROM outc UNION ALL SELECT prompt, loser FROM outc)), sm AS (SELECT prompt FROM itm GROUP BY 1 HAVING count(*) BETWEEN 3 AND 8)
+@R.add("i5_winrate_grid", sql("outc", "SELECT 1").replace(" SELECT 1", ", " + BW + """, itm AS (SELECT DISTINCT prompt, x FROM (SELECT prompt, winner AS x FROM outc UNION ALL SELECT prompt, loser FROM outc)), sm AS (SELECT prompt FROM itm GROUP BY 1 HAVING count(*) BETWEEN 3 AND 200)
  SELECT u.prompt, u.x AS i, w.x AS j, round(coalesce(CASE WHEN u.x < w.x THEN ab ELSE ba END / (ab + ba), 0.5), 6) AS p FROM itm u JOIN sm USING (prompt) JOIN itm w ON u.prompt = w.prompt AND u.x <> w.x LEFT JOIN bw ON bw.prompt = u.prompt AND least(u.x, w.x) = a AND greatest(u.x, w.x) = b"""))
 def i5(s, d):
-    """Win rates on the full grid of each prompt with 3 to 8 responses; pairs that never met get 1/2."""
+    """Win rates on the full grid of each prompt with 3 to 200 responses (C2); pairs that never met get 1/2."""
     w = matrix.both_ways(matrix.win_counts(V.outcomes(s, d)))
     items = w.select("prompt", F.explode(F.array("a", "b")).alias("x")).distinct()
-    small = items.groupBy("prompt").agg(F.collect_list("x").alias("xs")).where(F.size("xs").between(3, 8))
+    small = items.groupBy("prompt").agg(F.collect_list("x").alias("xs")).where(F.size("xs").between(3, 200))  # C2
     grid = small.select("prompt", "xs", F.explode("xs").alias("i")).select("prompt", "i", F.explode("xs").alias("j")).where("i <> j")
     g = grid.withColumns({"a": F.least("i", "j"), "b": F.greatest("i", "j")}).join(w, ["prompt", "a", "b"], "left")
     return g.select("prompt", "i", "j", r6(F.coalesce(F.when(F.col("i") < F.col("j"), F.col("ab")).otherwise(F.col("ba")) / (F.col("ab") + F.col("ba")), F.lit(0.5))).alias("p"))
