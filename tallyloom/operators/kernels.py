@@ -17,16 +17,24 @@ ENUMERATE = 6
 
 
 def bt_mle(w: np.ndarray, rounds: int = 500, tol: float = 1e-10, floor: float = 1e-10, total: float = 1.0) -> np.ndarray:
-    """Bradley-Terry strengths by minorise-maximise; w[i, j] = weight with which i beat j."""
-    n = len(w)
-    theta, off = np.full(n, total / n), ~np.eye(n, dtype=bool)
-    pair, wins = (w + w.T) * off, (w * off).sum(axis=1)
+    """Bradley-Terry strengths by minorise-maximise; w[..., i, j] = weight with which i beat j. Takes one matrix or
+    a stack of them; a matrix of the stack stops where it would alone."""
+    w = np.asarray(w, float)
+    if w.ndim == 2:
+        return bt_mle(w[None], rounds, tol, floor, total)[0]
+    n = w.shape[1]
+    off = ~np.eye(n, dtype=bool)
+    theta, pair, wins = np.full(w.shape[:2], total / n), (w + w.swapaxes(1, 2)) * off, (w * off).sum(axis=2)
+    open_ = np.arange(len(w))
     for _ in range(rounds):
-        new = np.maximum(wins / np.maximum((pair / (theta[:, None] + theta[None, :])).sum(axis=1), 1e-300), floor)
-        new *= total / new.sum()
-        if np.abs(new - theta).max() < tol:
-            return new
-        theta = new
+        t = theta[open_]
+        new = np.maximum(wins[open_] / np.maximum((pair[open_] / (t[:, :, None] + t[:, None, :])).sum(axis=2), 1e-300), floor)
+        new *= total / new.sum(axis=1, keepdims=True)
+        done = np.abs(new - t).max(axis=1) < tol
+        theta[open_] = new
+        open_ = open_[~done]
+        if not len(open_):
+            break
     return theta
 
 
@@ -125,6 +133,27 @@ def feedback_arcs(w: np.ndarray) -> float:
     return float(back / w.sum()) if w.sum() else 0.0
 
 
+def per_stack(rows: DataFrame, f: Callable[[np.ndarray], np.ndarray], schema: str) -> DataFrame:
+    """Apply f to stacks of equally large matrices: (prompts, n, n) -> (prompts, n, values), a row for each response."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            by: dict[int, list] = {}
+            for q, m in zip(b["prompt_id"], b["m"]):
+                by.setdefault(len(m), []).append((q, np.vstack(m)))
+            parts = []
+            for n, xs in by.items():
+                v = f(np.stack([m for _, m in xs]).astype(float)).reshape(len(xs) * n, -1)
+                d = pd.DataFrame(v, columns=names[2:])
+                d.insert(0, names[1], np.tile(np.arange(n), len(xs)))
+                d.insert(0, names[0], np.repeat([q for q, _ in xs], n))
+                parts.append(d)
+            yield pd.concat(parts) if parts else pd.DataFrame(columns=names)
+
+    return rows.select("prompt_id", "m").mapInPandas(run, schema)
+
+
 def per_matrix(rows: DataFrame, f: Callable[[np.ndarray], list[tuple]], schema: str) -> DataFrame:
     """Apply f to each prompt's matrix; schema starts with prompt_id."""
     names = [x.split()[0] for x in schema.split(", ")]

@@ -163,12 +163,9 @@ def j4(s, d):
 
 @R.add("j5_bt_strengths")
 def j5(s, d):
-    """J5 (sum 1) and J5b (sum k, floor 1e-6) side by side."""
-
-    def f(m):
-        return [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(K.bt_mle(m), K.bt_mle(np.clip(m, 1e-6, 1 - 1e-6), 1000, 1e-8, 1e-6, len(m))))]
-
-    return K.per_matrix(C.rows_of(p_of(s, d)), f, "prompt_id bigint, i int, theta double, theta_scaled double")
+    """J5 (sum 1) and J5b (sum k, floor 1e-6) side by side, iterated for all prompts of a batch at once."""
+    f = lambda m: np.stack([K.bt_mle(m), K.bt_mle(np.clip(m, 1e-6, 1 - 1e-6), 1000, 1e-8, 1e-6, m.shape[1])], axis=2)
+    return K.per_stack(C.rows_of(p_of(s, d)), f, "prompt_id bigint, i int, theta double, theta_scaled double")
 
 
 @R.add("n14_bt_distortion")
