@@ -6,7 +6,7 @@ at least two fields, no name twice) becomes the sorted list of its (name, value)
 so the order of the fields does not count while a value under another name does.
 
 Hot keys. Copies may make up a third of all rows, so keys are counted exactly with map-side partial counts; keys over
-``hot_rows`` (at most rows / hot_rows of them) take a salted two-level aggregation and a broadcast of their minimum
+``hot_rows`` (at most MOST_HOT of them) take a salted two-level aggregation and a broadcast of their minimum
 identifiers, the rest one shuffle in which a group holds at most ``hot_rows`` identifiers.
 
 Defined cases: NULL texts and texts with fewer than ``min_chars`` letters and digits are left out; an empty table gives
@@ -26,6 +26,8 @@ from tallyloom.session import cut, table
 
 #: A group of copies with more rows than this is hot.
 HOT_ROWS = 10_000
+#: At most so many keys are hot, whatever the data's size: beyond MOST_HOT * HOT_ROWS rows the limit rises with them.
+MOST_HOT = 100_000
 #: Ways in which the rows of a hot key are spread.
 SALTS = 64
 
@@ -70,8 +72,9 @@ def collapse(members: DataFrame, hot_rows: int = HOT_ROWS, salts: int = SALTS) -
 
     members must be a table that is cheap to read again (see cut)."""
     g = ["record_table", "key"]
+    hot_rows = max(hot_rows, members.count() // MOST_HOT)
     hot = members.groupBy(*g).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select(*g)
-    hot = F.broadcast(cut(hot))  # at most rows / hot_rows keys of 16 bytes
+    hot = F.broadcast(cut(hot))  # at most MOST_HOT keys of 16 bytes
     flagged = members.join(hot, g, "left_semi")
     salted = flagged.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
     # An identifier may come twice, and both times with one salt: so distinct counts add up.
