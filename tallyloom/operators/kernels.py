@@ -114,23 +114,22 @@ def transitive_baseline(m: np.ndarray) -> float:
 
 def feedback_arcs(w: np.ndarray) -> float:
     """N12, the corrected variant: share of the weight that points backwards in a greedy order (sinks last, sources first)."""
-    n, left, head, tail = len(w), set(range(len(w))), [], []
-    while left:
-        k = sorted(left)
-        out, into = {i: sum(w[i, j] for j in k) for i in k}, {i: sum(w[j, i] for j in k) for i in k}
-        if sinks := [i for i in k if out[i] == 0]:
-            tail.append(sinks[0])
-            left.remove(sinks[0])
-        elif sources := [i for i in k if into[i] == 0]:
-            head.append(sources[0])
-            left.remove(sources[0])
+    n, head, tail = len(w), [], []
+    out, into, left = w.sum(axis=1).astype(float), w.sum(axis=0).astype(float), np.ones(len(w), bool)
+    while left.any():
+        sinks, sources = np.flatnonzero(left & (out == 0)), np.flatnonzero(left & (into == 0))
+        if len(sinks):
+            i = sinks[0]
+            tail.append(i)
         else:
-            i = max(k, key=lambda x: (out[x] - into[x], -x))
+            i = sources[0] if len(sources) else int(np.argmax(np.where(left, out - into, -np.inf)))
             head.append(i)
-            left.remove(i)
-    at = {i: k for k, i in enumerate(head + tail[::-1])}
-    back = sum(w[i, j] for i in range(n) for j in range(n) if at[i] > at[j])
-    return float(back / w.sum()) if w.sum() else 0.0
+        left[i] = False
+        out -= w[:, i]
+        into -= w[i]
+    at = np.empty(n, int)
+    at[head + tail[::-1]] = np.arange(n)
+    return float(w[at[:, None] > at[None, :]].sum() / w.sum()) if w.sum() else 0.0
 
 
 def per_stack(rows: DataFrame, f: Callable[[np.ndarray], np.ndarray], schema: str) -> DataFrame:
@@ -164,3 +163,21 @@ def per_matrix(rows: DataFrame, f: Callable[[np.ndarray], list[tuple]], schema:
             yield pd.DataFrame(out, columns=names)
 
     return rows.select("prompt_id", "m").mapInPandas(run, schema)
+
+
+def per_graph(rows: DataFrame, f: Callable[[np.ndarray], list[tuple]], schema: str) -> DataFrame:
+    """rows(prompt_id, xs, es): apply f to the win counts of each prompt's items xs, built from its edges es(a, b, ab, ba)."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for q, xs, es in zip(batch["prompt_id"], batch["xs"], batch["es"]):
+                at, w = {x: k for k, x in enumerate(xs)}, np.zeros((len(xs), len(xs)))
+                for e in es:
+                    i, j = at[e["a"]], at[e["b"]]
+                    w[i, j], w[j, i] = e["ab"], e["ba"]
+                out += [(q, *r) for r in f(w)]
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.select("prompt_id", "xs", "es").mapInPandas(run, schema)

@@ -74,14 +74,11 @@ def n7(s, d):
 
 
 def count_rows(s, d, largest=200):
-    """(prompt_id, m): win counts of each prompt with 3 to ``largest`` responses, dense, in text order."""
+    """(prompt_id, xs, es): items in text order and edges of each prompt with 3 to ``largest`` responses."""
     b = both(s, d)
-    items = b.select("prompt", F.explode(F.array("a", "b")).alias("x")).distinct().groupBy("prompt").agg(F.array_sort(F.collect_list("x")).alias("xs")).where(F.size("xs").between(3, largest))
-    edges = b.groupBy("prompt").agg(F.collect_list(F.struct("a", "b", "ab", "ba")).alias("es"))
-    j = items.join(edges, "prompt")
-    cell = lambda i, k: F.aggregate("es", F.lit(0).cast("bigint"), lambda acc, e: acc + F.when((e["a"] == i) & (e["b"] == k), e["ab"]).when((e["b"] == i) & (e["a"] == k), e["ba"]).otherwise(0))
-    m = F.transform("xs", lambda i: F.transform("xs", lambda k: cell(i, k).cast("double")))
-    return j.select(F.xxhash64("prompt").alias("prompt_id"), m.alias("m"))
+    g = b.groupBy("prompt").agg(F.collect_list(F.struct("a", "b", "ab", "ba")).alias("es"))
+    g = g.withColumn("xs", F.array_sort(F.array_distinct(F.flatten(F.transform("es", lambda e: F.array(e["a"], e["b"]))))))
+    return g.where(F.size("xs").between(3, largest)).select(F.xxhash64("prompt").alias("prompt_id"), "xs", "es")
 
 
 @R.add("n8_hodge_counts")
@@ -94,7 +91,7 @@ def n8(s, d):
         t, g, c, h = K.hodge(flow, n > 0)
         return [(t, g, c, h, 0.0 if t < 1e-10 else min(1.0, max(0.0, 1 - g / t)), K.loop_ratio_v1(flow, n > 0))]
 
-    return K.per_matrix(count_rows(s, d), f, "prompt_id bigint, total double, gradient double, curl double, harmonic double, loop_ratio double, loop_ratio_v1 double")
+    return K.per_graph(count_rows(s, d), f, "prompt_id bigint, total double, gradient double, curl double, harmonic double, loop_ratio double, loop_ratio_v1 double")
 
 
 @R.add("n9_hodge_probabilities")
@@ -112,7 +109,7 @@ def n11(s, d):
 @R.add("n12_feedback_arcs")
 def n12(s, d):
     """The faithful score, always 0, beside the corrected greedy one."""
-    out = K.per_matrix(count_rows(s, d), lambda w: [(K.feedback_arcs(w),)], "prompt_id bigint, corrected double")
+    out = K.per_graph(count_rows(s, d), lambda w: [(K.feedback_arcs(w),)], "prompt_id bigint, corrected double")
     return out.select("prompt_id", F.lit(0.0).alias("faithful"), "corrected")
 
 
