@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -10,6 +11,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PROCESS = uuid.uuid4().hex[:12]
+_ROOTS: set[str] = set()
+_OWN: dict[str, str] = {}
+
 #: Settings that hold for any cluster size; sizes of partitions and shuffles stay with the cluster.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -52,14 +57,28 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's spark.checkpoint.dir, or one of our own where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+    if not at:  # unset, as in tests: one folder for this process, and never on a cluster
+        if "dir" not in _OWN:
+            _OWN["dir"] = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
+        at = _OWN["dir"]
     return at
 
 
 def scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tallyloom/{uuid.uuid4().hex}"
+    """A new path in the shared folder; all of this process's paths are deleted when it ends with its context alive."""
+    root = f"{shared_dir(spark)}/tallyloom-{_PROCESS}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_forget, spark, root)
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+def _forget(spark: SparkSession, root: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            drop_path(spark, root)
+    except Exception:  # noqa: BLE001  the context is gone, and with it the way to the folder
+        pass
 
 
 def cut(df: DataFrame, path: str | None = None) -> DataFrame:
