@@ -106,6 +106,43 @@ def test_pruning_is_exact():
     assert full and cut.keys() == full.keys() and all(cut[k] == pytest.approx(full[k]) for k in full)
 
 
+def matching_tables(spark, comp, rows):
+    """comp: (id, text, model, day); rows: (row_id, text, model, day)."""
+    entries = spark.createDataFrame([(f"ask {k}", d, [(k, m, t)]) for k, t, m, d in comp], "instruction string, day int, completions array<struct<completion_id: bigint, model: string, response: string>>").withColumn("collected_at", F.timestamp_seconds(F.col("day") * 86400))
+    pairs = spark.createDataFrame([(k, "asked", t, None, m, None, d) for k, t, m, d in rows], "row_id bigint, instruction string, chosen string, reject string, chosen_model string, reject_model string, day int").withColumn("created_at", F.timestamp_seconds(F.col("day") * 86400))
+    return entity_matching.sides(pairs), entity_matching.completions(entries)
+
+
+def test_copies_keep_their_weight():
+    """Terms of a text that a third of all completions copy still find it."""
+    import pandas as pd
+
+    rnd = random.Random(6)
+    hot = answer(rnd)
+    docs = pd.DataFrame({"completion_id": range(300), "text": [hot.upper() if k % 3 == 0 else answer(rnd) for k in range(300)], "day": 0.0})
+    q = pd.DataFrame({"text": [" ".join(hot.split()[:-3])], "day": 0.0})
+    got = entity_matching.retrieve(docs, q, top=10**6)
+    assert {d for _, d, s, _ in got if s > 0.8} == set(range(0, 300, 3))
+    f = entity_matching.Frequencies(3000, np.array([7], dtype=np.uint64), np.array([2900]))
+    assert (f.weight(np.array([7, 8], dtype=np.uint64), np.array([False, True])) > 0).all()
+
+
+def test_blocks_do_not_change_scores(spark):
+    rnd = random.Random(7)
+    comp = [(k, answer(rnd), f"m{k % 3}", 100 + k % 4) for k in range(50)]
+    q, c = matching_tables(spark, comp, [(k, t.lower().replace("counted", "saw"), m, d) for k, t, m, d in comp[:20]])
+    best = lambda **x: {(r["row_id"], r["completion_id"], round(r["score"], 9), round(r["rare"], 9)) for r in entity_matching.candidates(q, c, **x).collect() if r["row_id"] == r["completion_id"]}
+    assert len(best()) == 20 and best() == best(docs_a_block=7, queries_a_block=6)
+
+
+def test_frequencies_beyond_the_limit(spark):
+    _, c = matching_tables(spark, [(1, "one two three four", "m", 1), (2, "one two three five", "m", 1), (3, "ONE two, six seven", "m", 1), (4, "one two six seven", "m", 1)], [])
+    f = entity_matching.frequencies(c, 4)
+    assert f.n == 3 and sorted(f.df) == [2, 3, 3] and f.rest == 1
+    f = entity_matching.frequencies(c, 4, most=2)
+    assert sorted(f.df) == [3, 3] and f.rest == 2
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------
 SAME = (
     ("Once the kite frames are ready, the version improves.", "ONCE THE  KITE FRAMES ARE READY the version ​improves!!", "> **Once** the kite-frames are ready; the version improves"),
