@@ -143,6 +143,19 @@ def test_frequencies_beyond_the_limit(spark):
     assert sorted(f.df) == [3, 3] and f.rest == 2
 
 
+def test_every_copy_of_the_answer_matches(spark):
+    """All completion ids of one text in time and of no other model; another model's near copy takes no one's place."""
+    rnd = random.Random(8)
+    comp = [(k, answer(rnd), "alpha", 100 + k % 4) for k in range(40)]
+    hot, near = comp[5][1], comp[9][1]
+    copies = [(k, hot.upper().replace(" ", "  ") if k % 2 else f"> {hot}", "alpha", 102) for k in range(100, 120)]
+    others = [(200, hot, "beta", 102), (201, hot, "alpha", 150), (202, near + " Indeed.", "beta", 101)]
+    q, c = matching_tables(spark, comp + copies + others, [(k, t.lower().replace("counted", "saw"), m, d) for k, t, m, d in comp[:20]] + [(90, near.lower() + " indeed.", "alpha", 101)])
+    want = {(k, k) for k in range(20)} | {(k, 5) for k in range(100, 120)} | {(9, 90)}
+    for x in ({}, {"docs_a_block": 11, "queries_a_block": 8}):
+        assert {(r["completion_id"], r["row_id"]) for r in entity_matching.match(entity_matching.candidates(q, c, **x)).collect()} == want
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------
 SAME = (
     ("Once the kite frames are ready, the version improves.", "ONCE THE  KITE FRAMES ARE READY the version ​improves!!", "> **Once** the kite-frames are ready; the version improves"),
