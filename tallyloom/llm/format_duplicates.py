@@ -31,13 +31,14 @@ MOST_HOT = 100_000
 #: Ways in which the rows of a hot key are spread.
 SALTS = 64
 
-_FIELD = r"^[^\p{L}\p{N}]*([\p{L}\p{N}][\p{L}\p{N} _-]{0,40}?)[\"'*_ \t]*[=:](.*)$"
+#: A value may hold line breaks.
+_FIELD = r"(?s)^[^\p{L}\p{N}]*([\p{L}\p{N}][\p{L}\p{N} _-]{0,40}?)[\"'*_ \t]*[=:](.*)$"
 
 
 def _pairs(parts: Column) -> Column:
     """name, separator, value of each part, squashed; a part that is no field gives NULL."""
     field = lambda p: F.concat_ws("\u0001", squash(F.regexp_extract(p, _FIELD, 1)), squash(F.regexp_extract(p, _FIELD, 2)))
-    return F.transform(parts, lambda p: F.when(p.rlike(r"(?s)" + _FIELD), field(p)))
+    return F.transform(parts, lambda p: F.when(p.rlike(_FIELD), field(p)))
 
 
 def canonical(text: Column) -> Column:

@@ -179,6 +179,13 @@ def test_collapse(spark, hot):
     assert format_duplicates.collapse(m.limit(0), hot).count() == 0
 
 
+def test_field_value_with_a_line_break(spark):
+    texts = ["id=1; note=first line\nsecond line of a long note", "note = First line\r\nsecond line of a long note; id = 1", "id=1; note=other line\nanother line of a long note"]
+    d = spark.createDataFrame(list(enumerate(texts)), "row_id bigint, text string")
+    k = {r["id"]: bytes(r["key"]) for r in format_duplicates.keyed(d, "row_id", "text").collect()}
+    assert len(k) == 3 and k[0] == k[1] != k[2]
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 def test_checked_examples(spark):
     rows = [(k, i, a, None if k % 2 else "The map is on the table in the hall.") for k, (i, a, _) in enumerate(defects.VALIDATION)]
