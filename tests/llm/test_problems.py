@@ -164,8 +164,8 @@ def test_frequencies_beyond_the_limit(spark):
     assert f.n == 3 and f.length == 4 and sorted(f.df) == [2, 3, 3, 3] and f.rest == 1  # three, one, two and the model
     f = entity_matching.frequencies(c, 4, most=3)
     assert sorted(f.df) == [3, 3, 3] and f.rest == 2
-    held = entity_matching._terms([["one", "seven", "four", "five"]], 4, {})
-    assert entity_matching.has(f.bits, held.term).all() and not entity_matching.has(f.bits, entity_matching._terms([["nowhere", "one", "one", "one"]], 4, {}).term).all()
+    held = entity_matching._terms([["one", "seven", "four", "five"]], 4, entity_matching.Hashes())
+    assert entity_matching.has(f.bits, held.term).all() and not entity_matching.has(f.bits, entity_matching._terms([["nowhere", "one", "one", "one"]], 4, entity_matching.Hashes()).term).all()
 
 
 def test_far_in_time(spark):
@@ -182,11 +182,11 @@ def test_probes_are_exact():
     """Whatever text holds the share of a query's weight holds one of its probes."""
     rnd = random.Random(11)
     base = [answer(rnd).lower().split() for _ in range(60)]
-    t = entity_matching._terms(base, 4, {})
+    t = entity_matching._terms(base, 4, entity_matching.Hashes())
     term, df = np.unique(t.term, return_counts=True)
     f = entity_matching.Frequencies(60, 20.0, term, df)
     qs = [w[:-1] for w in base[:30]] + [rnd.sample(w, len(w)) for w in base[30:40]]
-    q = entity_matching._terms(qs, 4, {})
+    q = entity_matching._terms(qs, 4, entity_matching.Hashes())
     ask = entity_matching.probes(q, len(qs), f)
     for k in range(len(qs)):
         own = q.term[q.text == k]
