@@ -169,37 +169,39 @@ def _votes(instruction: str | None, answer: str | None) -> tuple[dict[str, list[
     low = text.lower()
     sqi, ins, ins_words, want = asked(instruction or "")
     # Letters and digits alone matter only for answers short enough to be empty or a copy.
-    brief = len(low) <= 2 * len(ins) + 80
+    words = _WORD.findall(low)
+    alike = 0.85 * max(len(words), ins_words.total()) <= min(len(words), ins_words.total())  # else no overlap makes a copy
+    brief = len(low) <= 2 * len(ins) + 80 or alike or len(ins) >= 12 and len(low) - low.count(ins) * len(ins) <= 80
     sq = _NOT_WORD.sub("", low) if brief or not _ALNUM.search(low) else low
     v = {d: [-1] * len(FUNCTIONS[d]) for d in DEFECTS}
     filler = sq in FILLERS
     v["empty"] = [-1 if sq else 1, 1 if filler or not sq else -1, -1 if sq and not filler else 0 if text.strip() else 1]
     if not sq or filler:
         return v, "", []
-    words = _WORD.findall(low)
-    # refusal: looked for in the first two sentences, where an answer declines or begins
+    # refusal: looked for in the whole answer; in a long one only its first two sentences, where an answer declines or
+    # begins, tell for it, and what is said further on tells neither way
     long_ = len(words) > 40
-    head = low[:400]
-    if any(h in head for h in _HINTS):
-        first = " ".join(_SENTENCES.split(head.strip(), maxsplit=2)[:2])
+    if any(h in low for h in _HINTS):
+        first = " ".join(_SENTENCES.split(low.strip(), maxsplit=2)[:2]) if long_ else low
         no = bool(_NOT_REFUSAL.search(low))
         a, b, c = (bool(p.search(first)) for p in (_INABILITY, _DECLINE, _OTHER))
-        hit = a or b or c
-        vote = lambda own: 1 if own and not no else -1 if no or long_ else 0 if hit else -1
+        hit = a or b or c or long_ and any(p.search(low) for p in (_INABILITY, _DECLINE, _OTHER))
+        vote = lambda own: 1 if own and not no else -1 if no else 0 if hit else -1
         begins = _OPENING.search(low) and len(words) < 25 and len(re.split(r"[.!?]\s", low)) < 2
         v["refusal"] = [vote(a), vote(b), vote(c), -1 if long_ or no else 1 if hit or begins else -1]
-    if brief and len(sqi) >= 12 and 0.6 * len(sqi) <= len(sq) <= 2 * len(sqi) + 40:  # no other length can be a copy
+    if len(sqi) >= 12 and (alike or brief and (sqi in sq or sq in sqi)):  # nothing else can be a copy
         inside = sqi in sq
-        rest = len(sq) - len(sqi)
+        rest = len(sq) - max(1, sq.count(sqi)) * len(sqi)  # beside the instruction, however often it is given back
         beside = [w for w in _WORD.findall(low.replace(ins, " ")) if w not in _LEAD] if inside else words
         most = sum((ins_words & Counter(words)).values()) / max(1, sum(ins_words.values()), len(words))
         v["copy"] = [
-            1 if sq == sqi else 0 if inside and rest <= 25 else -1,
+            1 if inside and not rest else 0 if inside and rest <= 25 else -1,
             1 if inside and (rest <= 25 or len(beside) <= 2 and rest < 40) or sq in sqi and len(sq) >= 0.7 * len(sqi) else -1,
             1 if most >= 0.85 or inside and rest <= 25 else -1,
         ]
     # truncated
-    if len(words) <= 3 and "\n" not in text and "{" not in text and "```" not in text:
+    wide = 0 if low.isascii() else sum("\u3040" <= c <= "\ud7ff" for c in low)  # scripts without gaps: two characters a word
+    if max(len(words), wide // 2) <= 3 and "\n" not in text and "{" not in text and "```" not in text:
         v["truncated"][3] = 0  # a one-word answer
         v["language"] = [0, 0, 0]
         return v, "", []
@@ -214,7 +216,7 @@ def _votes(instruction: str | None, answer: str | None) -> tuple[dict[str, list[
         opened = -1 if fences or closed or tail < 0 else 0
     if brace or fences:
         word, ends = "", []
-        v["truncated"] = [opened, opened, opened, 0]
+        v["truncated"] = [0, opened, 0, 0]  # one sign, one vote
     else:
         shape = -1 if tail < 0 else 0
         if listed and tail >= 0:

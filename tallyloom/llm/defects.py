@@ -46,6 +46,7 @@ VALIDATION = (
     ("How do I mend a bicycle tube at home?", "I'm sorry to hear that your tube burst; this should put it right. Take the wheel off and use a patch.", set()),
     ("How do I mend a bicycle tube at home?", "I'm not able to see the tube, of course, but here is what you need. Use a patch and the glue in the kit.", set()),
     ("How do I mend a bicycle tube at home?", "How do I mend a bicycle tube at home?", {"copy"}),
+    ("How do I mend a bicycle tube at home?", "How do I mend a bicycle tube at home? How do I mend a bicycle tube at home?", {"copy"}),
     ("How do I mend a bicycle tube at home?", "Question: how do I mend a bicycle tube at home", {"copy"}),
     ("How do I mend a bicycle tube at home?", "How do I mend a bicycle tube at home? First take the wheel off, then find the hole, and last put a patch on the tube.", set()),
     ("Describe the garden in spring.", "In spring the garden is full of birds. The first flowers open when the", {"truncated"}),

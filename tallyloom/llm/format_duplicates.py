@@ -73,16 +73,15 @@ def collapse(members: DataFrame, hot_rows: int = HOT_ROWS, salts: int = SALTS) -
 
     members must be a table that is cheap to read again (see cut)."""
     g = ["record_table", "key"]
-    hot_rows = max(hot_rows, members.count() // MOST_HOT)
     hot = members.groupBy(*g).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select(*g)
-    hot = F.broadcast(cut(hot))  # at most MOST_HOT keys of 16 bytes
+    hot = cut(hot)  # its written size decides between a broadcast and a shuffle
     flagged = members.join(hot, g, "left_semi")
     salted = flagged.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
     # An identifier may come twice, and both times with one salt: so distinct counts add up.
     once = salted.dropDuplicates(["record_table", "key", "id"])
     level1 = once.groupBy(*g, "salt").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
     level2 = level1.groupBy(*g).agg(F.min("first_id").alias("first_id"), F.sum("copies").alias("copies")).where("copies > 1")
-    of_hot = once.join(F.broadcast(level2), g).select("record_table", "id", "first_id", "copies")
+    of_hot = once.join(level2, g).select("record_table", "id", "first_id", "copies")
     rest = members.join(hot, g, "left_anti").groupBy(*g).agg(F.collect_set("id").alias("ids")).where(F.size("ids") > 1)
     of_rest = rest.select("record_table", F.explode("ids").alias("id"), F.array_min("ids").alias("first_id"), F.size("ids").cast("bigint").alias("copies"))
     return of_hot.unionByName(of_rest)

@@ -17,56 +17,67 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import digest, squash
-from tallyloom.session import cut, drop_path, scratch, table
+from tallyloom.session import cut, table
 
 #: Collision graphs up to so many edges (at 32 bytes, 32 MB) are merged in one task; larger ones go through the search again.
 SMALL_EDGES = 500_000
+#: Places that the list of one node is spread over.
+SALTS = 8
 #: Share of each split.
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
 def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    parent: dict[bytes, bytes] = {}
+    """(a, b, ha, hb): of each component's labels the one with the least hash."""
+    parent: dict[tuple[int, bytes], tuple[int, bytes]] = {}
 
-    def root(x: bytes) -> bytes:
+    def root(x: tuple[int, bytes]) -> tuple[int, bytes]:
         while parent.setdefault(x, x) != x:
             parent[x] = x = parent[parent[x]]
         return x
 
     for b in batches:
-        for s, t in zip(map(bytes, b["a"]), map(bytes, b["b"])):
-            r, q = root(s), root(t)
+        for s, t, hs, ht in zip(map(bytes, b["a"]), map(bytes, b["b"]), b["ha"], b["hb"]):
+            r, q = root((hs, s)), root((ht, t))
             if r != q:
                 parent[max(r, q)] = min(r, q)
     nodes = list(parent)
-    yield pd.DataFrame({"v": pd.Series(nodes, dtype=object), "comp": pd.Series([root(x) for x in nodes], dtype=object)})
+    yield pd.DataFrame({"v": pd.Series([x[1] for x in nodes], dtype=object), "comp": pd.Series([root(x)[1] for x in nodes], dtype=object)})
+
+
+def _hash(c: Column) -> Column:
+    return F.xxhash64(c)
 
 
 def components(edges: DataFrame, small_edges: int = SMALL_EDGES, depth: int = 0) -> DataFrame:
-    """(a, b) binary -> (v, comp) for every node that has an edge; comp is the label of its component."""
-    spark = edges.sparkSession
+    """(a, b) binary -> (v, comp) for every node that has an edge; comp is the component's node with the least hash, whatever
+    the way it was found (a node is a seed if it is below its neighbours, so that one always is; merging keeps the least)."""
     e = edges.where(F.col("a") != F.col("b"))
-    both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    at = scratch(spark)
-    adj = cut(both, at)  # hash-partitioned by the distinct; read again in every round
-    n_edges = adj.count()
-    if n_edges <= 2 * small_edges:
-        return cut(adj.where(F.col("a") < F.col("b")).coalesce(1).mapInPandas(_union_find, "v binary, comp binary")) if depth else _search(adj, small_edges, depth)
-    return _search(adj, small_edges, depth)
-
-
-def _search(adj: DataFrame, small_edges: int, depth: int) -> DataFrame:
-    spark = adj.sparkSession
-    h = lambda c: F.struct(F.xxhash64(c, F.lit(depth)).alias("h"), c.alias("v"))
+    both = cut(e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    if depth and both.count() <= 2 * small_edges:
+        once = both.where(F.col("a") < F.col("b")).withColumns({"ha": _hash(F.col("a")), "hb": _hash(F.col("b"))})
+        return cut(once.coalesce(1).mapInPandas(_union_find, "v binary, comp binary"))
+    return _search(both, small_edges, depth)
+
+
+def _search(edges: DataFrame, small_edges: int, depth: int) -> DataFrame:
+    """Adjacency lists lie hash-partitioned by node and salt for all rounds (a hub's list on SALTS places); a round moves the
+    frontier to them, and never an edge. Lost parts are read again from the written table."""
+    parts = max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    adj = edges.withColumn("salt", F.pmod(_hash(F.col("b")), F.lit(SALTS)).cast("int")).repartition(parts, "a", "salt").persist(StorageLevel.DISK_ONLY)
+    every = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+    h = lambda c: F.struct(_hash(c).alias("h"), c.alias("v"))
     lowest = adj.groupBy("a").agg(F.min(h(F.col("b"))).alias("m"))
     seeds = lowest.where(h(F.col("a")) < F.col("m")).select(F.col("a").alias("v"), F.col("a").alias("label"))
     found = [frontier := cut(seeds)]
     while True:
-        reached = frontier.join(adj, frontier["v"] == adj["a"]).groupBy(F.col("b").alias("v")).agg(F.min("label").alias("label"))
+        ask = frontier.select(F.col("v").alias("a"), "label", every).repartition(parts, "a", "salt")
+        reached = ask.join(adj, ["a", "salt"]).groupBy(F.col("b").alias("v")).agg(F.min("label").alias("label"))
         seen = reduce(DataFrame.union, found).select("v")
         frontier = cut(reached.join(seen, "v", "left_anti"))
         if frontier.isEmpty():
@@ -74,9 +85,10 @@ def _search(adj: DataFrame, small_edges: int, depth: int) -> DataFrame:
         found.append(frontier)
     labels = reduce(DataFrame.union, found)
     # Each colliding pair once, with the labels of both ends.
-    left = adj.where(F.col("a") < F.col("b")).join(labels.select(F.col("v").alias("a"), F.col("label").alias("la")), "a")
+    left = edges.where(F.col("a") < F.col("b")).join(labels.select(F.col("v").alias("a"), F.col("label").alias("la")), "a")
     pairs = left.join(labels.select(F.col("v").alias("b"), F.col("label").alias("lb")), "b").where(F.col("la") != F.col("lb"))
     clash = cut(pairs.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+    adj.unpersist()
     if clash.isEmpty():
         return labels.select("v", F.col("label").alias("comp"))
     merged = components(clash, small_edges, depth + 1).select(F.col("v").alias("label"), "comp")
@@ -156,4 +168,4 @@ def project(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return records, components(key_links(records))
 
 
-__all__ = ["components", "key_links", "separated", "assign", "project", "project_records", "drop_path"]
+__all__ = ["components", "key_links", "separated", "assign", "project", "project_records"]

@@ -9,7 +9,8 @@ documents and, of the last epoch, the token-prefix in a seeded hash order.
 Only sums reach the driver: one row for each listed source, kind and language. Prefixes come from sums per hash range
 and a window inside a range, so a source with a third of all rows is never sorted in one task.
 
-Defined cases: documents of other sources or without a source are left out; NULL texts have 0 tokens; a listed source
+Defined cases: documents of other sources or without a source are left out; NULL texts have 0 tokens, and documents without
+tokens are used in whole epochs only; a source falls short when the tree gives it less than its part; a listed source
 without documents has capacity 0; source names are compared in lower case with separators unified; empty tables give
 sources that all fall short of nothing (budget 0).
 """
@@ -76,9 +77,11 @@ def allocate(docs: DataFrame, targets: DataFrame) -> DataFrame:
     total = sum(tokens[s] for s in want)
     leaves = {(home.get(s, (0, "", ""))[1], home.get(s, (0, "", ""))[2], s): (w, float(tokens[s] * m)) for s, (w, m) in want.items()}
     got = {p[2]: x for p, x in budget(leaves, float(total)).items()}
+    # Redistribution only adds, so a leaf that the tree gives less than its part is one that cannot take it.
+    falls_short = {s: got[s] < w * total - 1e-6 for s, (w, _) in want.items()}
     rows = []
     for (kind, lang, s), (w, cap) in sorted(leaves.items(), key=lambda x: x[0][2]):
-        rows.append((s, kind, lang, w, want[s][1], tokens[s], int(cap), w * total, got[s], bool(cap < w * total)))
+        rows.append((s, kind, lang, w, want[s][1], tokens[s], int(cap), w * total, got[s], falls_short[s]))
     return spark.createDataFrame(rows, "source string, domain string, lang string, target_share double, max_repeats int, tokens bigint, capacity bigint, target_tokens double, budget double, short boolean")
 
 
@@ -92,7 +95,8 @@ def select(docs: DataFrame, allocation: DataFrame, seed: int = 42, ranges: int =
     sums = sums.select("source", "range", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start"))
     inside = F.sum("n_tok").over(Window.partitionBy("source", "range").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     d = d.withColumn("inside", inside).join(sums, ["source", "range"]).join(F.broadcast(a), "source")
-    repeats = F.col("epochs") + (F.col("start") + F.col("inside") <= F.col("rest")).cast("int")
+    # Of the last epoch only documents with tokens: one without would be used once more than it may be.
+    repeats = F.col("epochs") + ((F.col("n_tok") > 0) & (F.col("start") + F.col("inside") <= F.col("rest"))).cast("int")
     return d.select("doc_id", "source", "n_tok", repeats.alias("repeats")).where("repeats > 0")
 
 

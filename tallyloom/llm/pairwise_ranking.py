@@ -9,7 +9,7 @@ or twice do not pull strong items towards the middle.
 
 Votes are reduced to one row a pair before anything else (map-side combine, so a hot item or annotator is no problem).
 Up to ``dense_items`` items (a documented bound: a matrix of 2000 x 2000 doubles, 32 MB) are solved on the driver; above
-it the same systems are solved by conjugate gradients whose vectors are DataFrames.
+it the same systems, to the same stopping rules, by conjugate gradients whose vectors are DataFrames.
 
 Defined cases: votes with a NULL side, a name that is no item, one item on both sides or no recorded outcome are left
 out; a vote delivered again (same annotator, time, sides and outcome) counts once, where the annotator is known; items
@@ -82,19 +82,29 @@ def solve_dense(items: list[int], edges: list[tuple[int, int, int, int]], prior:
     return x
 
 
-def solve_distributed(items: DataFrame, edges: DataFrame, prior: float = PRIOR, passes: int = 3, rounds: int = 6, eps: float = EPS, steps: int = 100, tol: float = 1e-13) -> DataFrame:
-    """items(item), edges(i, j, n, a) -> (item, x): the same passes and rounds with Jacobi-preconditioned conjugate gradients."""
+def solve_distributed(items: DataFrame, edges: DataFrame, prior: float = PRIOR, passes: int = PASSES, rounds: int = ROUNDS, eps: float = EPS, steps: int = 10_000, tol: float = 1e-18) -> DataFrame:
+    """items(item), edges(i, j, n, a) -> (item, x): the same passes, rounds and stopping rules as solve_dense; each system
+    by Jacobi-preconditioned conjugate gradients until its residual is ``tol`` of what it was (or ``steps``)."""
+
+    def moved(new: DataFrame, old: DataFrame) -> float:
+        return new.join(old.withColumnRenamed("x", "old"), "item").agg(F.max(F.abs(F.col("x") - F.col("old")))).first()[0] or 0.0
+
     x = cut(items.select("item", F.lit(0.0).alias("x")))
     for _ in range(passes):
         xi, xj = x.select(F.col("item").alias("i"), F.col("x").alias("xi")), x.select(F.col("item").alias("j"), F.col("x").alias("xj"))
         chance = 1 / (1 + F.exp(F.col("xj") - F.col("xi")))
         won, lost = F.col("a") + chance, F.col("n") - F.col("a") + 1 - chance
+        start = x
         fixed = cut(edges.join(xi, "i").join(xj, "j").select("i", "j", F.log(won / lost).alias("y"), F.sqrt(won * lost / (won + lost)).alias("w")))
         for k in range(rounds):
             xi, xj = x.select(F.col("item").alias("i"), F.col("x").alias("xi")), x.select(F.col("item").alias("j"), F.col("x").alias("xj"))
             off = F.greatest(F.abs(F.col("y") - F.col("xi") + F.col("xj")), F.lit(eps))
             e = fixed.join(xi, "i").join(xj, "j").select("i", "j", "y", (F.col("w") * F.col("w") if k == 0 else F.col("w") / off).alias("u"))
-            x = _solve(items, e, x, prior, steps, tol)
+            last, x = x, _solve(items, e, x, prior, steps, tol)
+            if moved(x, last) < 1e-6:
+                break
+        if moved(x, start) < 1e-3:
+            break
     return x
 
 
@@ -113,8 +123,9 @@ def _solve(items: DataFrame, e: DataFrame, x: DataFrame, prior: float, steps: in
     s = times(base.join(x, "item"), "x").withColumn("r", F.col("b") - F.col("av"))
     s = cut(s.select("item", "d", "x", "r", (F.col("r") / F.col("d")).alias("p")))
     rz = s.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0] or 0.0
+    enough = max(rz * tol, 1e-24)
     for _ in range(steps):
-        if rz < tol:
+        if rz < enough:
             break
         t = cut(times(s, "p"))
         alpha = rz / t.agg(F.sum(F.col("p") * F.col("av"))).first()[0]

@@ -38,6 +38,9 @@ def test_components(spark, small):
     for r in leak_free_splits.components(df, small).collect():
         got[bytes(r["comp"])].add(bytes(r["v"]))
     assert {frozenset(g) for g in got.values()} == brute_components([x for x in e if x[0] != x[1]])
+    names = spark.createDataFrame([(bytearray(v), bytearray(c)) for c, g in got.items() for v in g], "v binary, c binary")
+    least = names.groupBy("c").agg(F.min_by("v", F.struct(F.xxhash64("v"), "v")).alias("least")).collect()
+    assert all(bytes(r["c"]) == bytes(r["least"]) for r in least)  # whatever the limit, so splits do not depend on it
 
 
 def records(spark, rows):
@@ -60,7 +63,7 @@ def test_splits(spark):
 def test_split_shares(spark):
     r = records(spark, [("c", k, f"question {k % 1500}", None, None, "") for k in range(3000)] + [("c", 9000 + k, "hot", None, None, "") for k in range(1500)])
     n = Counter(x["new_split"] for x in leak_free_splits.assign(r, leak_free_splits.components(leak_free_splits.key_links(r))).collect())
-    assert {s: round(v / 4500, 1) for s, v in n.items()} == {"train": 0.8, "validation": 0.1, "test": 0.1}
+    assert all(abs(n[s] / 4500 - x) < 0.015 for s, x in (("train", 0.8), ("validation", 0.1), ("test", 0.1))), n
 
 
 # 2 ------------------------------------------------------------------------------------------------------------------
@@ -161,9 +164,9 @@ def test_blocks_do_not_change_scores(spark):
 def test_frequencies_beyond_the_limit(spark):
     _, c = matching_tables(spark, [(1, "one two three four", "m", 1), (2, "one two three five", "m", 1), (3, "ONE two, six seven", "m", 1), (4, "one two six seven", "m", 1)], [])
     f = entity_matching.frequencies(c, 4)
-    assert f.n == 3 and f.length == 4 and sorted(f.df) == [2, 3, 3, 3] and f.rest == 1  # three, one, two and the model
+    assert f.n == 3 and f.length == 4 and sorted(f.df) == [2, 3, 3, 4] and f.rest == 1  # three, one, two, and the model of four completions
     f = entity_matching.frequencies(c, 4, most=3)
-    assert sorted(f.df) == [3, 3, 3] and f.rest == 2
+    assert sorted(f.df) == [3, 3, 4] and f.rest == 2
     held = entity_matching._terms([["one", "seven", "four", "five"]], 4, entity_matching.Hashes())
     assert entity_matching.has(f.bits, held.term).all() and not entity_matching.has(f.bits, entity_matching._terms([["nowhere", "one", "one", "one"]], 4, entity_matching.Hashes()).term).all()
 
@@ -244,10 +247,12 @@ def test_checked_examples(spark):
     rows = [(k, i, a, None if k % 2 else "The map is on the table in the hall.") for k, (i, a, _) in enumerate(defects.VALIDATION)]
     rows += [(500, None, "An answer to nothing is still an answer.", "word " * 30_000 + "end."), (501, "", "", " ")]
     rows += [(1000 + k, "What is the best way to cook rice?", "The best way is to rinse it and to let it rest in the pot.", "Use the small pot, and keep the lid on it.") for k in range(300)]
+    # That an item may end in "house" only the corpus can tell.
+    rows += [(2000 + k, "What should I do in spring?", f"Here is a list of things to do.\n- paint the {c} house\n- clean the whole garden house\n- water the green house.", "Use the small pot, and keep the lid on it.") for k, c in enumerate(("old", "new"))]
     d = spark.createDataFrame(rows, "row_id bigint, instruction string, chosen string, reject string").withColumn("votes", F.lit(3))
     got = {(r["row_id"], r["side"]): r["defect"] for r in defects.label(d).where("nth = 1").collect()}
     for k, (_, _, want) in enumerate(defects.VALIDATION):
-        assert {got[k, "chosen"]} if (k, "chosen") in got else set() == want, (k, want)
+        assert ({got[k, "chosen"]} if (k, "chosen") in got else set()) == want, (k, want)
         assert ((k, "reject") in got) == (k % 2 == 1) or got[k, "reject"] == "language"
     assert (500, "chosen") not in got and (500, "reject") not in got and got[501, "chosen"] == got[501, "reject"] == "empty"
     assert not [x for x in got if x[0] >= 1000]
@@ -303,6 +308,15 @@ def test_distributed_solver(spark):
     assert [got[k] for k in range(1, 8)] == pytest.approx(list(want), abs=1e-3)
 
 
+def test_both_solvers_at_their_defaults(spark):
+    """The same strengths whichever side of the limit the number of items is on."""
+    e = [(1, 2, 9, 7), (2, 3, 8, 5), (4, 5, 3, 3)]
+    items = spark.createDataFrame([(k,) for k in range(1, 7)], "item_id bigint")
+    votes = spark.createDataFrame([(i, j) for i, j, n, a in e for _ in range(a)] + [(j, i) for i, j, n, a in e for _ in range(n - a)], "winner bigint, loser bigint")
+    one, other = ({r["item_id"]: (r["strength"], r["rank"]) for r in pairwise_ranking.rank(items, votes, limit).collect()} for limit in (2000, 3))
+    assert one.keys() == other.keys() and all(one[k][0] == pytest.approx(other[k][0], abs=1e-4) and one[k][1] == other[k][1] for k in one)
+
+
 def test_contradictory_edge_is_downweighted():
     e = [(i, j, 20, 18) for i in range(6) for j in range(i + 1, 6)]
     e = [x for x in e if x[:2] != (0, 5)] + [(0, 5, 400, 4)]
@@ -384,6 +398,11 @@ def test_mixture(spark):
     assert sum(r["actual_share"] for r in rep.values()) == pytest.approx(1)
     again = mixture.select(d, a)
     assert chosen.exceptAll(again).count() == 0
+    # Nine in ten documents without tokens, and budgets of whole epochs: nothing is used too often.
+    bare = spark.createDataFrame([(k, "big" if k % 2 else "small", "en", "note", 0 if k % 10 else 50) for k in range(400)], "doc_id bigint, source string, lang string, kind string, n_tok bigint")
+    once = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 1)], "source string, target_share double, max_repeats int")
+    used = mixture.select(bare, mixture.allocate(bare, once))
+    assert used.agg(F.max("repeats")).first()[0] == 1
     none = mixture.allocate(d.limit(0), t)
     assert none.count() == 3 and mixture.select(d.limit(0), none).count() == 0
 
