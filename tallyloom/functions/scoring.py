@@ -42,11 +42,11 @@ def skew(v: Column, w: Column) -> Column:
     return dot(turned(v), w)
 
 
-def gate(v: Column, scale: float) -> Column:
+def gate(v: Column, scale: Column) -> Column:
     """H4, Z3: block weights, the softmax of the even components, one weight for both of a block; scale d/2 or 1."""
     head = F.transform(F.filter(v, lambda x, k: k % 2 == 0), F.exp)
     total = F.aggregate(head, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(v, lambda x, k: F.lit(scale) * F.get(head, F.floor(k / 2).cast("int")) / total)
+    return F.transform(v, lambda x, k: scale * F.get(head, F.floor(k / 2).cast("int")) / total)
 
 
 def unit(v: Column) -> Column:
@@ -56,13 +56,13 @@ def unit(v: Column) -> Column:
 
 
 def candidate_pairs(vectors: DataFrame) -> DataFrame:
-    """H6: (prompt_id, i, j, ri, rj, vi, s2, s8, sg) of all ordered candidate pairs. One shuffle gathers a prompt's few
+    """H6: (prompt_id, i, j, ri, rj, vi, s2, s, sg) of all ordered candidate pairs. One shuffle gathers a prompt's few
     candidates; J(v) and the gates are made once for each of them."""
     v = F.col("v")
-    one = vectors.withColumns({"jv": turned(v), "gv": F.zip_with(gate(v, 4.0), turned(v), lambda g, x: g * x)})
+    one = vectors.withColumns({"jv": turned(v), "gv": F.zip_with(gate(v, F.size(v) / 2), turned(v), lambda g, x: g * x)})
     g = one.groupBy("prompt_id").agg(F.collect_list(F.struct("idx", "reward", "v", "jv", "gv")).alias("rs"))
     p = g.select("prompt_id", "rs", F.explode("rs").alias("a")).select("prompt_id", "a", F.explode("rs").alias("b")).where("a.idx <> b.idx")
-    return p.select("prompt_id", F.col("a.idx").alias("i"), F.col("b.idx").alias("j"), F.col("a.reward").alias("ri"), F.col("b.reward").alias("rj"), F.col("a.v").alias("vi"), dot(F.slice("a.jv", 1, 2), F.slice("b.v", 1, 2)).alias("s2"), dot(F.col("a.jv"), F.col("b.v")).alias("s8"), dot(F.col("a.gv"), F.col("b.v")).alias("sg"))
+    return p.select("prompt_id", F.col("a.idx").alias("i"), F.col("b.idx").alias("j"), F.col("a.reward").alias("ri"), F.col("b.reward").alias("rj"), F.col("a.v").alias("vi"), dot(F.slice("a.jv", 1, 2), F.slice("b.v", 1, 2)).alias("s2"), dot(F.col("a.jv"), F.col("b.v")).alias("s"), dot(F.col("a.gv"), F.col("b.v")).alias("sg"))
 
 
 def logistic(x: Column, tau: float = 1.0) -> Column:

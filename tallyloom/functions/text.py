@@ -16,29 +16,33 @@ def sentence_count(t: Column) -> Column:
     return F.greatest(F.lit(1), F.size(F.filter(F.split(t, r"[.!?](\s|$)"), lambda x: F.trim(F.regexp_replace(x, r"\s", "")) != "")))
 
 
+# What a line starts with, and what is bold.
+BOLD, BULLET, NUMBERED, HEADER, TABLE = r"\*\*[^*]+\*\*", r"^\s*[-*]\s", r"^\s*\d+\.\s", r"^#{1,6}\s", r"^\s*\|.+\|.+\|"
+
+
 def lines_like(t: Column, pattern: str) -> Column:
     """Lines that match at their start."""
     return F.size(F.filter(F.split(t, "\n"), lambda x: x.rlike(pattern)))
 
 
 def n_bold(t: Column) -> Column:
-    return F.regexp_count(t, F.lit(r"\*\*[^*]+\*\*"))
+    return F.regexp_count(t, F.lit(BOLD))
 
 
 def n_bullets(t: Column) -> Column:
-    return lines_like(t, r"^\s*[-*•]\s")
+    return lines_like(t, BULLET)
 
 
 def n_numbered(t: Column) -> Column:
-    return lines_like(t, r"^\s*[0-9]+[.)]\s")
+    return lines_like(t, NUMBERED)
 
 
 def n_headers(t: Column) -> Column:
-    return lines_like(t, r"^#{1,6}\s")
+    return lines_like(t, HEADER)
 
 
 def n_tables(t: Column) -> Column:
-    return lines_like(t, r"^\|.*\|")
+    return lines_like(t, TABLE)
 
 
 def n_code_blocks(t: Column) -> Column:
@@ -52,3 +56,8 @@ def n_emojis(t: Column) -> Column:
 def formatting_density(t: Column) -> Column:
     """Marks a word; tables and emojis do not count."""
     return (n_bold(t) + n_bullets(t) + n_numbered(t) + n_headers(t) + n_code_blocks(t)) / F.greatest(F.lit(1), word_count(t))
+
+
+def normal(t: Column) -> Column:
+    """Letters and digits in lower case: how prompts typed in several ways are told to be one."""
+    return F.regexp_replace(F.lower(t), r"[^\p{L}\p{M}\p{N}]+", "")

@@ -47,6 +47,36 @@ def loop_ratio(p: DataFrame) -> DataFrame:
     return g.withColumn("loop_ratio", ratio)
 
 
+def baseline(p: DataFrame) -> DataFrame:
+    """N6 on complete matrices: every edge turned along the potential (nodes level to nine digits lose it), then N5 of the
+    result. One aggregate gathers a prompt's nodes; its edges find both potentials there, without a join."""
+    node = p.groupBy("prompt_id", "i").agg(F.first("k").alias("k"), F.round(F.sum(F.col("p") - 0.5), 9).alias("r"), F.collect_list(F.struct("j", F.abs(F.col("p") - 0.5).alias("f"))).alias("fs"))
+    g = node.groupBy("prompt_id").agg(F.first("k").alias("k"), F.map_from_entries(F.collect_list(F.struct("i", "r"))).alias("rs"), F.collect_list(F.struct("r", "fs")).alias("nodes"))
+    zero = F.lit(0.0)
+    turned = lambda n: F.aggregate(n["fs"], zero, lambda s, e: s + e["f"] * F.signum(n["r"] - F.try_element_at("rs", e["j"])))
+    energy = lambda n: F.aggregate(n["fs"], zero, lambda s, e: s + e["f"] * e["f"] * F.abs(F.signum(n["r"] - F.try_element_at("rs", e["j"]))))
+    g = g.withColumns({"q": F.transform("nodes", turned), "e": F.aggregate("nodes", zero, lambda s, n: s + energy(n))})
+    grad = 2 / F.col("k") * F.aggregate("q", zero, lambda s, x: s + x * x)
+    return g.select("prompt_id", F.when(F.col("e") < 1e-10, 0.0).otherwise(F.greatest(zero, F.least(F.lit(1.0), 1 - grad / F.col("e")))).alias("baseline"))
+
+
+def adjusted_ratio(p: DataFrame) -> DataFrame:
+    """(prompt_id, loop_ratio, baseline, adjusted)."""
+    j = loop_ratio(p).select("prompt_id", "loop_ratio").join(baseline(p), "prompt_id")
+    rest = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("loop_ratio") - F.col("baseline")) / (1 - F.col("baseline"))))
+    return j.withColumn("adjusted", F.when(F.col("baseline") >= 1 - 1e-10, 0.0).otherwise(rest))
+
+
+def feedback_share(both: DataFrame) -> DataFrame:
+    """N12, the corrected variant: items in the order of their majority wins less losses (ties by item), and the share of
+    majority edges that point backwards in it. Aggregates and joins on (prompt, item): a prompt's size has no bound."""
+    e = directed(both, majority=True)
+    net = e.select("prompt", F.explode(F.array(F.struct(F.col("x").alias("item"), F.lit(1).alias("w")), F.struct(F.col("y").alias("item"), F.lit(-1).alias("w")))).alias("z")).groupBy("prompt", F.col("z.item").alias("item")).agg(F.sum("z.w").alias("net"))
+    j = e.join(net.select("prompt", F.col("item").alias("x"), F.col("net").alias("nx")), ["prompt", "x"]).join(net.select("prompt", F.col("item").alias("y"), F.col("net").alias("ny")), ["prompt", "y"])
+    back = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y")))
+    return j.groupBy("prompt").agg((F.count_if(back) / F.count("*")).alias("corrected"))
+
+
 def rows_of(p: DataFrame) -> DataFrame:
     """(prompt_id, k, m): the matrix of a prompt as an array of rows with 1/2 on the diagonal; prompts are small."""
     row = p.groupBy("prompt_id", "i").agg(F.first("k").alias("k"), F.collect_list(F.struct("j", "p")).alias("xs"))
@@ -76,9 +106,9 @@ def logit_residual(t: DataFrame, eps: float) -> DataFrame:
 
 
 def transitivity_class(p: DataFrame) -> DataFrame:
-    """Intransitive if some i > j, j > l but l > i; quasi if only not i > l; else transitive."""
+    """Intransitive if some i > j, j > l but not i > l; else quasi where no response beats all others, else transitive."""
     t = triples(p, ordered=True).where("pij > 0.5 and pjl > 0.5")
-    bad = t.groupBy("prompt_id").agg(F.bool_or(F.col("pil") < 0.5).alias("strict"), F.bool_or(F.col("pil") <= 0.5).alias("weak"))
-    base = p.where("k >= 3").select("prompt_id").distinct()
-    j = base.join(bad, "prompt_id", "left")
-    return j.select("prompt_id", F.when(F.col("strict"), "intransitive").when(F.col("weak"), "quasi").otherwise("transitive").alias("class"))
+    bad = t.groupBy("prompt_id").agg(F.bool_or(F.col("pil") <= 0.5).alias("broken"))
+    won = p.groupBy("prompt_id", "i").agg((F.min("p") > 0.5).alias("all_")).groupBy("prompt_id").agg(F.bool_or("all_").alias("condorcet"))
+    j = won.join(bad, "prompt_id", "left")
+    return j.select("prompt_id", F.when(F.col("broken"), "intransitive").when(~F.col("condorcet"), "quasi").otherwise("transitive").alias("class"))

@@ -12,10 +12,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Prompts with more responses than this skip support enumeration for multiplicative weights.
-ENUMERATE = 6
-
-
 def bt_mle(w: np.ndarray, rounds: int = 500, tol: float = 1e-10, floor: float = 1e-10, total: float = 1.0) -> np.ndarray:
     """Bradley-Terry strengths by minorise-maximise; w[..., i, j] = weight with which i beat j. Takes one matrix or
     a stack of them; a matrix of the stack stops where it would alone."""
@@ -38,35 +34,39 @@ def bt_mle(w: np.ndarray, rounds: int = 500, tol: float = 1e-10, floor: float =
     return theta
 
 
-def maximal_lottery(p: np.ndarray, rounds: int = 20_000) -> np.ndarray:
-    """An optimal mixed strategy of the skew game p - 1/2; of several optima the mean of the supports found, which
-    spreads like the max-entropy one. A Condorcet winner is the whole answer."""
+def maximal_lottery(p: np.ndarray, slack: float = 1e-9, rounds: int = 200) -> np.ndarray:
+    """Of all optimal mixed strategies of the skew game p - 1/2 (each column's payoff at least -slack; the value of such
+    a game is 0) the one with the most entropy, for any number of responses. A Condorcet winner is the whole answer;
+    else a primal-dual interior-point method on min sum x ln x, started outside the constraints."""
     m, n = p - 0.5, len(p)
-    off = ~np.eye(n, dtype=bool)
     for i in range(n):
-        if (m[i][off[i]] > 0).all():
+        if (np.delete(m[i], i) > 0).all():
             return np.eye(n)[i]
-    if n <= ENUMERATE:
-        found = []
-        for k in range(1, n + 1):
-            for s in combinations(range(n), k):
-                a = np.vstack([m[np.ix_(s, s)], np.ones(k)])
-                x = np.linalg.lstsq(a, np.append(np.zeros(k), 1.0), rcond=None)[0]
-                if np.abs(a @ x - np.append(np.zeros(k), 1.0)).max() > 1e-9 or x.min() < -1e-12:
-                    continue
-                full = np.zeros(n)
-                full[list(s)] = np.maximum(x, 0)
-                if (full @ m).min() >= -1e-9:
-                    found.append(full)
-        if found:
-            x = np.mean(found, axis=0)
-            return np.where(x < 1e-8, 0, x) / x.sum()
-    x, mean = np.full(n, 1 / n), np.zeros(n)
-    for t in range(1, rounds + 1):
-        x = x * np.exp((m @ x) / np.sqrt(t))
-        x /= x.sum()
-        mean += x
-    return mean / mean.sum()
+    a = m.T
+    x, s, lam, nu = np.full(n, 1 / n), np.ones(n), np.ones(n), 0.0
+    for _ in range(rounds):
+        mu = float(s @ lam) / n
+        grad = np.log(x) + 1 - a.T @ lam + nu
+        miss, total = a @ x + slack - s, x.sum() - 1
+        if mu < 1e-13 and np.abs(miss).max() < 1e-11 and np.abs(grad).max() < 1e-8:
+            break
+        # Newton on the conditions with centring 0.1; s and lam are eliminated.
+        d = lam / s
+        h = np.diag(1 / x) + (a.T * d) @ a
+        rhs = -grad + a.T @ (0.1 * mu / s - lam - d * miss)
+        k = np.block([[h, np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])
+        try:
+            step = np.linalg.solve(k, np.append(rhs, -total))
+        except np.linalg.LinAlgError:
+            break
+        dx, dnu = step[:n], step[n]
+        ds = a @ dx + miss
+        dlam = 0.1 * mu / s - lam - d * ds
+        reach = lambda v, dv: min([1.0, *(-0.99 * v[dv < 0] / dv[dv < 0])])
+        t = min(reach(x, dx), reach(s, ds), reach(lam, dlam))
+        x, s, lam, nu = x + t * dx, s + t * ds, lam + t * dlam, nu + t * dnu
+    x = np.where(x < 1e-8, 0, x)
+    return x / x.sum()
 
 
 def hodge(flow: np.ndarray, seen: np.ndarray) -> tuple[float, float, float, float]:
@@ -102,36 +102,6 @@ def loop_ratio_v1(flow: np.ndarray, seen: np.ndarray) -> float:
     return 0.0 if total < 1e-10 else float(np.clip(1 - grad / total, 0, 1))
 
 
-def transitive_baseline(m: np.ndarray) -> float:
-    """Every edge re-oriented along the potential, then the loop ratio of the result."""
-    f = m - 0.5
-    r = f.sum(axis=1) / len(m)
-    g = np.abs(f) * np.sign(r[:, None] - r[None, :])
-    k, total = len(m), float((g**2).sum())
-    q = g.sum(axis=1) / k
-    return 0.0 if total < 1e-10 else float(np.clip(1 - 2 * k * (q @ q) / total, 0, 1))
-
-
-def feedback_arcs(w: np.ndarray) -> float:
-    """N12, the corrected variant: share of the weight that points backwards in a greedy order (sinks last, sources first)."""
-    n, head, tail = len(w), [], []
-    out, into, left = w.sum(axis=1).astype(float), w.sum(axis=0).astype(float), np.ones(len(w), bool)
-    while left.any():
-        sinks, sources = np.flatnonzero(left & (out == 0)), np.flatnonzero(left & (into == 0))
-        if len(sinks):
-            i = sinks[0]
-            tail.append(i)
-        else:
-            i = sources[0] if len(sources) else int(np.argmax(np.where(left, out - into, -np.inf)))
-            head.append(i)
-        left[i] = False
-        out -= w[:, i]
-        into -= w[i]
-    at = np.empty(n, int)
-    at[head + tail[::-1]] = np.arange(n)
-    return float(w[at[:, None] > at[None, :]].sum() / w.sum()) if w.sum() else 0.0
-
-
 def per_stack(rows: DataFrame, f: Callable[[np.ndarray], np.ndarray], schema: str) -> DataFrame:
     """Apply f to stacks of equally large matrices: (prompts, n, n) -> (prompts, n, values), a row for each response."""
     names = [x.split()[0] for x in schema.split(", ")]

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.sampling import running
 from tallyloom.plans.views import DIMS, pairs
 
-#: Three dimensions for A over B, B over C and C over A.
-CYCLE_CONFIGS = (("h", "o", "t"), ("h", "t", "f"), ("o", "f", "h"), ("f", "t", "o"))
+#: The dimensions on which A beats B, B beats C and C beats A.
+CYCLE_CONFIGS = {
+    "Cyclic_1": ("honesty", "truthfulness", "helpfulness"),
+    "Cyclic_2": ("instruction_following", "truthfulness", "helpfulness"),
+    "Cyclic_3": ("instruction_following", "honesty", "helpfulness"),
+    "Cyclic_4": ("instruction_following", "honesty", "truthfulness"),
+}
+_SHORT = {n: k for k, n in DIMS.items()}
 
 
 def dimension_pairs(e: DataFrame, min_margin: int = 2, strict: bool = False) -> DataFrame:
@@ -38,20 +47,25 @@ def conflicts(p: DataFrame) -> DataFrame:
     return g.agg(F.count_if((F.col("ups") > 0) & (F.col("ups") < F.col("n"))).alias("conflicts"), F.count("*").alias("pairs"))
 
 
-def cyclic_triples(e: DataFrame, min_margin: int = 0, largest: int = 6) -> DataFrame:
-    """A over B on m1, B over C on m2, C over A on m3, for each configuration; canonical with a the smallest index.
-    Triples come from the prompt's own array, so nothing is joined; prompts have at most ``largest`` responses."""
-    t = e.where(F.size("rs").between(3, largest)).select("prompt_id", "rs", F.explode("rs").alias("a")).select("prompt_id", "rs", "a", F.explode("rs").alias("b")).where("a.idx < b.idx")
-    t = t.select("prompt_id", "a", "b", F.explode("rs").alias("c")).where("a.idx < c.idx and b.idx <> c.idx")
-    hit = lambda m: (F.col(f"a.{m[0]}") - F.col(f"b.{m[0]}") > min_margin) & (F.col(f"b.{m[1]}") - F.col(f"c.{m[1]}") > min_margin) & (F.col(f"c.{m[2]}") - F.col(f"a.{m[2]}") > min_margin)
-    config = F.explode(F.filter(F.array(*(F.when(hit(m), F.lit("-".join(m))) for m in CYCLE_CONFIGS)), lambda x: x.isNotNull()))
-    return t.select("prompt_id", F.col("a.idx").alias("a"), F.col("b.idx").alias("b"), F.col("c.idx").alias("c"), config.alias("cycle_config"))
+def cyclic_triples(e: DataFrame, min_margin: int = 0) -> DataFrame:
+    """Every ordered triple with A over B on m1, B over C on m2 and C over A on m3, for each configuration; all three
+    ratings of all three are valid. Triples come from the prompt's own array, so nothing is joined; only the pairs with a
+    first leg meet a third response, and each carries the configurations that it still fits."""
+    gap = lambda x, y, d: F.col(f"{x}.{_SHORT[d]}") - F.col(f"{y}.{_SHORT[d]}") > min_margin
+    valid = lambda x, m: [F.col(f"{x}.{_SHORT[d]}").isNotNull() for d in m]
+    all_ = lambda cs: reduce(lambda p, q: p & q, cs)
+    legs = F.array_compact(F.array(*(F.when(all_([gap("a", "b", m[0]), *valid("a", m), *valid("b", m)]), F.lit(n)) for n, m in CYCLE_CONFIGS.items())))
+    t = e.where(F.size("rs") >= 3).select("prompt_id", "rs", F.explode("rs").alias("a")).select("prompt_id", "rs", "a", F.explode("rs").alias("b")).where("a.idx <> b.idx")
+    t = t.withColumn("fits", legs).where(F.size("fits") > 0)
+    t = t.select("prompt_id", "a", "b", "fits", F.explode("rs").alias("c")).where("c.idx <> a.idx and c.idx <> b.idx")
+    closed = F.array_compact(F.array(*(F.when(all_([F.array_contains("fits", n), gap("b", "c", m[1]), gap("c", "a", m[2]), *valid("c", m)]), F.struct(F.lit(n).alias("name"), F.array(*(F.lit(d) for d in m)).alias("dims"), F.array(F.col(f"a.{_SHORT[m[0]]}") - F.col(f"b.{_SHORT[m[0]]}"), F.col(f"b.{_SHORT[m[1]]}") - F.col(f"c.{_SHORT[m[1]]}"), F.col(f"c.{_SHORT[m[2]]}") - F.col(f"a.{_SHORT[m[2]]}")).alias("margins"))) for n, m in CYCLE_CONFIGS.items())))
+    return t.select("prompt_id", F.col("a.idx").alias("a"), F.col("b.idx").alias("b"), F.col("c.idx").alias("c"), F.explode(closed).alias("x")).select("prompt_id", "a", "b", "c", F.col("x.name").alias("cycle_config"), "x.dims", "x.margins")
 
 
 def cyclic_pairs(triples: DataFrame) -> DataFrame:
-    """Three rows for each cycle."""
-    legs = F.explode(F.array(*(F.struct(F.col(x).alias("chosen"), F.col(y).alias("rejected")) for x, y in ("ab", "bc", "ca"))))
-    return triples.select("prompt_id", "cycle_config", legs.alias("p")).select("prompt_id", "cycle_config", "p.chosen", "p.rejected")
+    """Three rows for each cycle, with the dimension and margin of each leg."""
+    legs = F.explode(F.array(*(F.struct(F.col(x).alias("chosen"), F.col(y).alias("rejected"), F.get("dims", F.lit(k)).alias("dimension"), F.get("margins", F.lit(k)).alias("margin")) for k, (x, y) in enumerate(("ab", "bc", "ca")))))
+    return triples.select("prompt_id", "cycle_config", legs.alias("p")).select("prompt_id", "cycle_config", "p.chosen", "p.rejected", "p.dimension", "p.margin")
 
 
 def grouped(p: DataFrame) -> DataFrame:
@@ -60,10 +74,5 @@ def grouped(p: DataFrame) -> DataFrame:
 
 
 def flatten_offsets(sizes: DataFrame, order: str, size: str) -> DataFrame:
-    """Running offset of each entry's first response. Sums per range of the order key, then a window inside a range."""
-    s = sizes.withColumn("range", F.floor(F.col(order) / 1024))
-    starts = s.groupBy("range").agg(F.sum(size).alias("s"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    starts = starts.select("range", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start"))
-    inside = F.coalesce(F.sum(size).over(Window.partitionBy("range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return s.withColumn("inside", inside).join(starts, "range").withColumn("offset", F.col("start") + F.col("inside")).drop("range", "start", "inside")
+    """Running offset of each entry's first response, in the order of a numeric key."""
+    return running(sizes, order, size, "offset")

@@ -15,10 +15,11 @@ DIMS = {"h": "helpfulness", "o": "honesty", "f": "instruction_following", "t": "
 
 
 def first_delivery(df: DataFrame, key: str, at: str) -> DataFrame:
-    """One row for each key: the one with the earliest time."""
+    """One row for each key: the one with the earliest time. An aggregate a column, so that those nobody asks for are
+    neither read nor shuffled; all take the same row, for they see the rows in one order."""
+    when = F.coalesce(F.col(at), F.lit("9999-12-31").cast("timestamp"))
     cols = [c for c in df.columns if c != key]
-    one = df.groupBy(key).agg(F.min_by(F.struct(*cols), F.coalesce(F.col(at), F.lit("9999-12-31").cast("timestamp"))).alias("x"))
-    return one.select(key, *(F.col("x")[c].alias(c) for c in cols))
+    return df.groupBy(key).agg(*(F.min_by(c, when).alias(c) for c in cols)).select(*df.columns)
 
 
 def rating(c: Column, dim: str) -> Column:
@@ -84,15 +85,20 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(prompt_id, idx, v, reward): embeddings as preference vectors of candidates, four to a prompt; reward is the first
-    component (DM11 to DM13)."""
+    """(prompt_id, idx, v, reward): embeddings as preference vectors of candidates, four neighbours in id to a prompt (the
+    table's ten labels are too few to be prompts); all components, whatever their number; reward is the first (DM11 to DM13)."""
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    return e.select(F.floor(F.col("vec_id") / 4).alias("prompt_id"), (F.col("vec_id") % 4).cast("int").alias("idx"), F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 8).alias("v"), F.col("embedding")[0].cast("double").alias("reward"))
+    return e.select(F.floor(F.col("vec_id") / 4).alias("prompt_id"), (F.col("vec_id") % 4).cast("int").alias("idx"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.col("embedding")[0].cast("double").alias("reward"))
 
 
 _R = {k: f"CASE WHEN TRY_CAST(c.annotations['{d}'].Rating AS INT) >= 0 THEN TRY_CAST(c.annotations['{d}'].Rating AS INT) END" for k, d in DIMS.items()}
 _AVG = "list_avg([x FOR x IN [h, o, f, t] IF x IS NOT NULL])"
 
+def skew_sql(v: str, w: str, weight: str = "1.0", blocks: str = "") -> str:
+    """Sum over blocks k = 1 .. d/2 of weight * (v0 w1 - v1 w0)."""
+    return f"list_sum([{weight} * ({v}[2 * k - 1] * {w}[2 * k] - {v}[2 * k] * {w}[2 * k - 1]) FOR k IN range(1, {blocks or f'len({v}) // 2'} + 1)])"
+
+
 #: Common table expressions by name, each with the names it needs.
 CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "entries": ((), "SELECT * FROM annotated_completions QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY ingested_at NULLS LAST) = 1"),
@@ -106,8 +112,8 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "pref": ((), "SELECT pref_id, prompt[1].content AS prompt, chosen[1].content AS chosen, rejected[1].content AS rejected, dimension, score_chosen, score_rejected, margin, source_dataset, created_at FROM (SELECT * FROM preferences QUALIFY row_number() OVER (PARTITION BY pref_id ORDER BY ingested_at NULLS LAST) = 1)"),
     "outc": ((), "SELECT row_id, instruction AS prompt, CASE WHEN label = 1 THEN chosen ELSE reject END AS winner, CASE WHEN label = 1 THEN reject ELSE chosen END AS loser FROM custom_test_data WHERE label IN (0, 1) AND instruction IS NOT NULL AND chosen IS NOT NULL AND reject IS NOT NULL AND chosen <> reject"),
     "feat": ((), "SELECT * REPLACE (lower(trim(split)) AS split, " + ", ".join(f"CASE WHEN dim_{d} >= 0 THEN dim_{d} END AS dim_{d}" for d in DIMS.values()) + ") FROM (SELECT * FROM features_labeled QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY extracted_at NULLS LAST) = 1)"),
-    "vec": ((), "SELECT vec_id // 4 AS prompt_id, CAST(vec_id % 4 AS INT) AS idx, CAST(embedding AS DOUBLE[])[1:8] AS v, CAST(embedding[1] AS DOUBLE) AS reward FROM embeddings"),
-    "vp": (("vec",), "SELECT a.prompt_id, a.idx AS i, b.idx AS j, a.reward AS ri, b.reward AS rj, a.v AS vi, a.v[1] * b.v[2] - a.v[2] * b.v[1] AS s2, " + " + ".join(f"(a.v[{2 * k + 1}] * b.v[{2 * k + 2}] - a.v[{2 * k + 2}] * b.v[{2 * k + 1}])" for k in range(4)) + " AS s8, " + " + ".join(f"(a.v[{2 * k + 1}] * b.v[{2 * k + 2}] - a.v[{2 * k + 2}] * b.v[{2 * k + 1}]) * gw({k}, a.v)".replace(f"gw({k}, a.v)", f"4 * exp(a.v[{2 * k + 1}]) / (exp(a.v[1]) + exp(a.v[3]) + exp(a.v[5]) + exp(a.v[7]))") for k in range(4)) + " AS sg FROM vec a JOIN vec b ON a.prompt_id = b.prompt_id AND a.idx <> b.idx"),
+    "vec": ((), "SELECT vec_id // 4 AS prompt_id, CAST(vec_id % 4 AS INT) AS idx, CAST(embedding AS DOUBLE[]) AS v, CAST(embedding[1] AS DOUBLE) AS reward FROM embeddings"),
+    "vp": (("vec",), f"SELECT a.prompt_id, a.idx AS i, b.idx AS j, a.reward AS ri, b.reward AS rj, a.v AS vi, a.v[1] * b.v[2] - a.v[2] * b.v[1] AS s2, {skew_sql('a.v', 'b.v')} AS s, {skew_sql('a.v', 'b.v', 'exp(a.v[2 * k - 1])')} * (len(a.v) // 2) / list_sum([exp(a.v[2 * k - 1]) FOR k IN range(1, len(a.v) // 2 + 1)]) AS sg FROM vec a JOIN vec b ON a.prompt_id = b.prompt_id AND a.idx <> b.idx"),
     "cal": (("outc",), "SELECT row_id, o.prompt, winner, loser, CASE WHEN winner < loser THEN ab ELSE ba END / (ab + ba) AS p_emp, CASE WHEN z >= 0 THEN 1 / (1 + exp(-z)) ELSE exp(z) / (1 + exp(z)) END AS p FROM (SELECT *, greatest(-12.0, least(12.0, (length(winner) - length(loser)) / 64.0)) AS z FROM outc) o JOIN (SELECT prompt, least(winner, loser) AS a, greatest(winner, loser) AS b, sum(CASE WHEN winner < loser THEN 1 ELSE 0 END) AS ab, sum(CASE WHEN winner < loser THEN 0 ELSE 1 END) AS ba FROM outc GROUP BY 1, 2, 3) w ON o.prompt = w.prompt AND least(winner, loser) = a AND greatest(winner, loser) = b"),
 }
 

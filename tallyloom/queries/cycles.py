@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import cycles as C
 from tallyloom.operators import kernels as K
-from tallyloom.operators import matrix
+from tallyloom.operators import matrix, social
 from tallyloom.plans import views as V
 from tallyloom.queries.registry import Registry
 from tallyloom.queries.social import BW, p_of, q
@@ -63,27 +63,37 @@ def n5(s, d):
     return C.loop_ratio(p_of(s, d)).select("prompt_id", r6("gradient").alias("gradient"), r6("total").alias("total"), r6("loop_ratio").alias("loop_ratio"))
 
 
-@R.add("n6_n7_adjusted_ratio")
+BL = LR + """, po AS (SELECT prompt_id, i, round(sum(p - 0.5), 9) AS r FROM pm GROUP BY 1, 2),
+ ed AS (SELECT pm.prompt_id, pm.k, pm.i, abs(pm.p - 0.5) AS f, sign(u.r - v.r) AS d FROM pm JOIN po u ON u.prompt_id = pm.prompt_id AND u.i = pm.i JOIN po v ON v.prompt_id = pm.prompt_id AND v.i = pm.j),
+ qn AS (SELECT prompt_id, any_value(k) AS k, i, sum(f * d) AS q, sum(f * f * abs(d)) AS e FROM ed GROUP BY 1, 3),
+ bl AS (SELECT prompt_id, CASE WHEN sum(e) < 1e-10 THEN 0.0 ELSE greatest(0.0, least(1.0, 1 - 2.0 / any_value(k) * sum(q * q) / sum(e))) END AS baseline FROM qn GROUP BY 1),
+ aj AS (SELECT ra.prompt_id, loop_ratio, baseline, CASE WHEN baseline >= 1 - 1e-10 THEN 0.0 ELSE greatest(0.0, least(1.0, (loop_ratio - baseline) / (1 - baseline))) END AS adjusted FROM ra JOIN bl USING (prompt_id))"""
+
+
+@R.add(*q("n6_n7_adjusted_ratio", BL, "SELECT prompt_id, round(loop_ratio, 6) AS loop_ratio, round(baseline, 6) AS baseline, round(adjusted, 6) AS adjusted FROM aj"))
 def n7(s, d):
     """Transitive baseline and the ratio adjusted by it."""
-    rows = C.rows_of(p_of(s, d))
-    base = K.per_matrix(rows, lambda m: [(K.transitive_baseline(m),)], "prompt_id bigint, baseline double")
-    j = C.loop_ratio(p_of(s, d)).select("prompt_id", "loop_ratio").join(base, "prompt_id")
-    adj = F.when(F.col("baseline") >= 1 - 1e-10, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("loop_ratio") - F.col("baseline")) / (1 - F.col("baseline")))))
-    return j.select("prompt_id", r6("loop_ratio").alias("loop_ratio"), r6("baseline").alias("baseline"), r6(adj).alias("adjusted"))
+    return C.adjusted_ratio(p_of(s, d)).select("prompt_id", *(r6(c).alias(c) for c in ("loop_ratio", "baseline", "adjusted")))
 
 
-def count_rows(s, d, largest=200):
-    """(prompt_id, xs, es): items in text order and edges of each prompt with 3 to ``largest`` responses."""
-    b = both(s, d)
-    g = b.groupBy("prompt").agg(F.collect_list(F.struct("a", "b", "ab", "ba")).alias("es"))
+def sizes(b):
+    """(prompt, items): distinct responses of each prompt."""
+    return b.select("prompt", F.explode(F.array("a", "b")).alias("x")).groupBy("prompt").agg(F.countDistinct("x").alias("items"))
+
+
+def count_rows(b, least=3, largest=200):
+    """(prompt_id, xs, es): items in text order and edges of each prompt with 3 to ``largest`` responses (C2, as the method is
+    defined). Sizes are counted first, so no larger prompt's edges are ever gathered."""
+    g = b.join(sizes(b).where(F.col("items").between(least, largest)).select("prompt"), "prompt", "left_semi")
+    g = g.groupBy("prompt").agg(F.collect_list(F.struct("a", "b", "ab", "ba")).alias("es"))
     g = g.withColumn("xs", F.array_sort(F.array_distinct(F.flatten(F.transform("es", lambda e: F.array(e["a"], e["b"]))))))
-    return g.where(F.size("xs").between(3, largest)).select(F.xxhash64("prompt").alias("prompt_id"), "xs", "es")
+    return g.select(F.xxhash64("prompt").alias("prompt_id"), "xs", "es")
 
 
 @R.add("n8_hodge_counts")
 def n8(s, d):
-    """Hodge parts of the observed win counts."""
+    """Hodge parts of the observed win counts; NULL for prompts with fewer than 3 or more than 200 responses, whose
+    number of responses is given all the same."""
 
     def f(w):
         n = w + w.T
@@ -91,7 +101,9 @@ def n8(s, d):
         t, g, c, h = K.hodge(flow, n > 0)
         return [(t, g, c, h, 0.0 if t < 1e-10 else min(1.0, max(0.0, 1 - g / t)), K.loop_ratio_v1(flow, n > 0))]
 
-    return K.per_graph(count_rows(s, d), f, "prompt_id bigint, total double, gradient double, curl double, harmonic double, loop_ratio double, loop_ratio_v1 double")
+    b = both(s, d)
+    out = K.per_graph(count_rows(b), f, "prompt_id bigint, total double, gradient double, curl double, harmonic double, loop_ratio double, loop_ratio_v1 double")
+    return sizes(b).select(F.xxhash64("prompt").alias("prompt_id"), "items", (F.col("items") > 200).alias("over_200")).join(out, "prompt_id", "left")
 
 
 @R.add("n9_hodge_probabilities")
@@ -100,17 +112,40 @@ def n9(s, d):
     return K.per_matrix(C.rows_of(p_of(s, d)).where("k >= 3"), lambda m: [K.hodge(m - 0.5, ~np.eye(len(m), dtype=bool))], "prompt_id bigint, total double, gradient double, curl double, harmonic double")
 
 
-@R.add(*q("n11_spectral_gap", BW, "SELECT prompt, 0.0::DOUBLE AS spectral_gap FROM bw GROUP BY 1", "outc"))
+SZ = BW + ", it AS (SELECT prompt, count(*) AS items FROM (SELECT prompt, a AS x FROM bw UNION SELECT prompt, b FROM bw) GROUP BY 1)"
+
+
+@R.add(*q("n11_spectral_gap", SZ, "SELECT prompt, items, CASE WHEN items BETWEEN 3 AND 200 THEN 0.0::DOUBLE END AS spectral_gap FROM it", "outc"))
 def n11(s, d):
-    """Eigenvalues of a real skew matrix come in conjugate pairs of one modulus: the gap is 0 (a quirk kept as it is)."""
-    return both(s, d).select("prompt").distinct().withColumn("spectral_gap", F.lit(0.0))
+    """Eigenvalues of a real skew matrix come in conjugate pairs of one modulus: the gap between the two largest moduli is 0
+    (a quirk kept as it is), and not computed below 3 or above 200 responses."""
+    return sizes(both(s, d)).select("prompt", "items", F.when(F.col("items").between(3, 200), F.lit(0.0)).alias("spectral_gap"))
+
+
+@R.add("n11_distinct_gap")
+def n11_distinct(s, d):
+    """The gap between the two largest distinct moduli of the majority graph's skew matrix: what the name promises."""
+
+    def f(w):
+        a = (w > w.T).astype(float)
+        m = np.sort(np.abs(np.linalg.eigvals((a - a.T) / 2)))[::-1]
+        return [(float(m[0] - m[2]) if len(m) > 2 else None,)]
 
+    return K.per_graph(count_rows(both(s, d)), f, "prompt_id bigint, gap double")
 
-@R.add("n12_feedback_arcs")
+
+FB = SZ + """, ed AS (SELECT prompt, a AS x, b AS y FROM bw WHERE ab > ba UNION ALL SELECT prompt, b, a FROM bw WHERE ba > ab),
+ nt AS (SELECT prompt, item, sum(w) AS net FROM (SELECT prompt, x AS item, 1 AS w FROM ed UNION ALL SELECT prompt, y, -1 FROM ed) GROUP BY 1, 2),
+ fb AS (SELECT e.prompt, avg(CASE WHEN u.net < v.net OR (u.net = v.net AND x > y) THEN 1.0 ELSE 0.0 END) AS corrected FROM ed e JOIN nt u ON u.prompt = e.prompt AND u.item = x JOIN nt v ON v.prompt = e.prompt AND v.item = y GROUP BY 1)"""
+
+
+@R.add(*q("n12_feedback_arcs", FB, "SELECT it.prompt, items, CASE WHEN items >= 3 THEN 0.0::DOUBLE END AS faithful, CASE WHEN items >= 3 THEN round(coalesce(corrected, 0), 6) END AS corrected FROM it LEFT JOIN fb ON fb.prompt = it.prompt", "outc"))
 def n12(s, d):
-    """The faithful score, always 0, beside the corrected greedy one."""
-    out = K.per_graph(count_rows(s, d), lambda w: [(K.feedback_arcs(w),)], "prompt_id bigint, corrected double")
-    return out.select("prompt_id", F.lit(0.0).alias("faithful"), "corrected")
+    """The faithful score (edges are erased before they are counted, so it is always 0) beside the corrected one, for
+    prompts of 3 and more responses without any upper limit."""
+    b = both(s, d)
+    j = sizes(b).join(C.feedback_share(b), "prompt", "left")
+    return j.select("prompt", "items", F.when(F.col("items") >= 3, F.lit(0.0)).alias("faithful"), F.when(F.col("items") >= 3, r6(F.coalesce("corrected", F.lit(0.0)))).alias("corrected"))
 
 
 LG = "lg AS (SELECT *, ln(greatest({e}, least(1 - {e}, p)) / (1 - greatest({e}, least(1 - {e}, p)))) AS l FROM pm WHERE k >= 3)"
@@ -126,7 +161,11 @@ def n13b(s, d):
     return C.logit_residual(C.triples(p_of(s, d), ordered=True), 1e-6).withColumn("residual", F.round("residual", 5))
 
 
-@R.add(*q("n15_transitivity_class", "", "SELECT t.prompt_id, CASE WHEN strict THEN 'intransitive' WHEN weak THEN 'quasi' ELSE 'transitive' END AS class FROM (SELECT DISTINCT prompt_id FROM pm WHERE k >= 3) t LEFT JOIN (SELECT a.prompt_id, bool_or(c.p < 0.5) AS strict, bool_or(c.p <= 0.5) AS weak FROM pm a JOIN pm b ON b.prompt_id = a.prompt_id AND b.i = a.j AND a.p > 0.5 AND b.p > 0.5 JOIN pm c ON c.prompt_id = a.prompt_id AND c.i = a.i AND c.j = b.j GROUP BY 1) x USING (prompt_id)"))
+N15 = """br AS (SELECT DISTINCT a.prompt_id FROM pm a JOIN pm b ON b.prompt_id = a.prompt_id AND b.i = a.j AND b.j <> a.i JOIN pm c ON c.prompt_id = a.prompt_id AND c.i = a.i AND c.j = b.j WHERE a.p > 0.5 AND b.p > 0.5 AND c.p <= 0.5),
+ cw AS (SELECT DISTINCT prompt_id FROM (SELECT prompt_id, i FROM pm GROUP BY 1, 2 HAVING min(p) > 0.5))"""
+
+
+@R.add(*q("n15_transitivity_class", N15, "SELECT prompt_id, CASE WHEN prompt_id IN (SELECT prompt_id FROM br) THEN 'intransitive' WHEN prompt_id NOT IN (SELECT prompt_id FROM cw) THEN 'quasi' ELSE 'transitive' END AS class FROM (SELECT DISTINCT prompt_id FROM pm)"))
 def n15(s, d):
     return C.transitivity_class(p_of(s, d))
 
@@ -147,10 +186,18 @@ def n19(s, d):
     return C.loop_ratio(p_of(s, d)).agg(F.count("*").alias("prompts"), r6(F.avg(x)).alias("mean"), r6(F.stddev_pop(x)).alias("std"), *(r6(F.percentile(x, F.lit(k / 100))).alias(f"p{k}") for k in (25, 50, 75, 90, 95, 99)))
 
 
-@R.add(*q("n20_recommendation", LR, "SELECT prompt_id, CASE WHEN round(loop_ratio, 9) > 0.15 THEN 'vector_model' WHEN round(loop_ratio, 9) > 0.05 THEN 'either' ELSE 'scalar_model' END AS level FROM ra"))
+N20 = BL + ", " + BW.replace("FROM outc", f"FROM ({V.CTE['outc'][1]})") + ", cf AS (SELECT count_if(ab > 0 AND ba > 0) / count(*) AS rate FROM bw), me AS (SELECT avg(adjusted) AS adj, (SELECT rate FROM cf) AS rate FROM aj JOIN (SELECT DISTINCT prompt_id, k FROM pm) USING (prompt_id) WHERE k >= 3)"
+
+
+@R.add(*q("n20_recommendation", N20, "SELECT round(adj, 6) AS adjusted_loop_ratio, round(rate, 6) AS conflict_rate, CASE WHEN adj > 0.15 OR adj IS NULL AND rate > 0.2 THEN 'HIGH' WHEN adj > 0.05 OR adj IS NULL AND rate > 0.1 THEN 'MODERATE' ELSE 'LOW' END AS intransitivity FROM me"))
 def n20(s, d):
-    x = F.round("loop_ratio", 9)
-    return C.loop_ratio(p_of(s, d)).select("prompt_id", F.when(x > 0.15, "vector_model").when(x > 0.05, "either").otherwise("scalar_model").alias("level"))
+    """From the mean adjusted loop ratio of prompts with 3 and more responses; without one, from the share of conflicting pairs."""
+    p = p_of(s, d)
+    adj = C.adjusted_ratio(p.where("k >= 3")).agg(F.avg("adjusted").alias("adj"))
+    rate = both(s, d).agg((F.count_if((F.col("ab") > 0) & (F.col("ba") > 0)) / F.count("*")).alias("rate"))
+    x, y = F.col("adj"), F.col("rate")
+    level = F.when((x > 0.15) | (x.isNull() & (y > 0.2)), "HIGH").when((x > 0.05) | (x.isNull() & (y > 0.1)), "MODERATE").otherwise("LOW")
+    return adj.crossJoin(rate).select(r6("adj").alias("adjusted_loop_ratio"), r6("rate").alias("conflict_rate"), level.alias("intransitivity"))  # one row each
 
 
 @R.add("j4_maximal_lottery")
@@ -191,3 +238,28 @@ def n17(s, d):
         return [(float(-(y * np.log(y)).sum()), int((x > 0.01).sum()))]
 
     return K.per_matrix(C.rows_of(p_of(s, d)), f, "prompt_id bigint, entropy double, support int")
+
+
+@R.add("j11_nash_rewards")
+def j11_nash(s, d):
+    """J11 with the opponent drawn from the maximal lottery, itself included, and its distance from the plain win rate."""
+
+    def f(m):
+        x, n = K.maximal_lottery(m), len(m)
+        return [(i, float(m[i] @ x), float((m[i].sum() - 0.5) / (n - 1) - m[i] @ x)) for i in range(n)]
+
+    return K.per_matrix(C.rows_of(p_of(s, d)), f, "prompt_id bigint, i int, nash_win_rate double, total_inflation double")
+
+
+@R.add("j12_nash_agreement")
+def j12_nash(s, d):
+    """J12 with the lottery's winner among the five methods: shares of prompts on which two methods name one winner."""
+    names = ("emp_borda", "emp_copeland", "nash", "average", "pairwise")
+    e = V.rated_entries(s, d)
+    p = matrix.majority(e)
+    best = F.element_at(F.array_sort(F.transform("rs", lambda r: F.struct((-r["avg"]).alias("a"), r["idx"].alias("i")))), 1)["i"]
+    nash = K.per_matrix(C.rows_of(p), lambda m: [(int(np.argmax(np.round(K.maximal_lottery(m), 9))),)], "prompt_id bigint, nash int")
+    w = social.winners(p).select("prompt_id", F.col("borda_winner").alias("emp_borda"), F.col("copeland_winner").alias("emp_copeland"), F.col("pairwise_winner").alias("pairwise"))
+    j = w.join(nash, "prompt_id").join(e.select("prompt_id", best.alias("average")), "prompt_id")
+    cells = F.explode(F.array(*(F.struct(F.lit(a).alias("method_a"), F.lit(b).alias("method_b"), (F.col(a) == F.col(b)).cast("double").alias("eq")) for a in names for b in names)))
+    return j.select(cells.alias("c")).groupBy("c.method_a", "c.method_b").agg(r6(F.avg("c.eq")).alias("agreement"))

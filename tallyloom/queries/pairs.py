@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions import text as X
 from tallyloom.operators import pair_builders as B
+from tallyloom.operators import sampling as SA
 from tallyloom.plans import views as V
 from tallyloom.plans.views import DIMS, sql
 from tallyloom.queries.registry import Registry
@@ -27,11 +29,12 @@ def a4(s, d):
     return V.preferences(s, d).select("pref_id", "prompt", "chosen", "rejected")
 
 
-@R.add("a9_score_shards", "SELECT vec_id % 4 AS shard, vec_id // 4 AS lidx, (vec_id % 4) * 100000 + vec_id // 4 AS id, round(CAST(embedding[1] AS DOUBLE), 6) AS score FROM embeddings")
+@R.add("a9_score_shards", "WITH z AS (SELECT vec_id % 4 AS shard, vec_id // 4 AS lidx, embedding FROM embeddings), l AS (SELECT max(c) AS shard_len FROM (SELECT count(*) AS c FROM z GROUP BY shard)) SELECT shard, lidx, shard * shard_len + lidx AS id, round(CAST(embedding[1] AS DOUBLE), 6) AS score FROM z, l")
 def a9(s, d):
-    e = table(s, d, "embeddings", "vec_id", "embedding")
-    shard, lidx = F.col("vec_id") % 4, F.floor(F.col("vec_id") / 4)
-    return e.select(shard.alias("shard"), lidx.alias("lidx"), (shard * 100000 + lidx).alias("id"), r6(F.col("embedding")[0].cast("double")).alias("score"))
+    """A shard's scores stand at its number times the shard length (that of the longest)."""
+    e = table(s, d, "embeddings", "vec_id", "embedding").select((F.col("vec_id") % 4).alias("shard"), F.floor(F.col("vec_id") / 4).alias("lidx"), r6(F.col("embedding")[0].cast("double")).alias("score"))
+    long = e.groupBy("shard").agg(F.count("*").alias("c")).agg(F.max("c").alias("shard_len"))
+    return e.crossJoin(F.broadcast(long)).select("shard", "lidx", (F.col("shard") * F.col("shard_len") + F.col("lidx")).alias("id"), "score")  # one row
 
 
 @R.add("a10_shard_concat", "SELECT 0 AS part, pref_id AS id FROM preferences UNION ALL SELECT 1 AS part, feature_id AS id FROM features_labeled")
@@ -143,10 +146,16 @@ def b15(s, d):
     return labels(s, d).join(F.broadcast(strategies(s)), F.col("strategy_id") == F.col("id")).select("line_id", "feature_id", "strategy_id", F.col("name").alias("strategy_name"), F.col("grp").alias("substance_or_surface"))
 
 
-@R.add("b16_prompt_class", sql("feat", "SELECT prompt, CASE WHEN bool_or(has_cycle) THEN 'cycle' WHEN max(inflation_rm) > 0.5 THEN 'bt_inflated' ELSE 'agreement' END AS class FROM feat WHERE prompt IS NOT NULL GROUP BY 1"))
+B16 = "rk AS (SELECT prompt, feature_id, row_number() OVER (PARTITION BY prompt ORDER BY rm_reward DESC NULLS LAST, feature_id) AS r, row_number() OVER (PARTITION BY prompt ORDER BY borda_pm DESC NULLS LAST, feature_id) AS p, is_condorcet_winner AS c FROM feat WHERE prompt IS NOT NULL)"
+
+
+@R.add("b16_prompt_class", w("feat", B16, "SELECT prompt, CASE WHEN max(CASE WHEN r = 1 THEN feature_id END) = max(CASE WHEN p = 1 THEN feature_id END) THEN 'agreement' WHEN NOT coalesce(bool_or(c), false) THEN 'cycle' ELSE 'bt_inflated' END AS class FROM rk GROUP BY 1"))
 def b16(s, d):
+    """Agreement where the scalar and the pairwise model name one winner; else a cycle where no response beats all others."""
     f = V.features(s, d).where("prompt is not null")
-    return f.groupBy("prompt").agg(F.when(F.bool_or("has_cycle"), "cycle").when(F.max("inflation_rm") > 0.5, "bt_inflated").otherwise("agreement").alias("class"))
+    best = lambda c: F.max_by("feature_id", F.struct(F.coalesce(c, F.lit(-1e300)), -F.col("feature_id")))
+    cls = F.when(best("rm_reward") == best("borda_pm"), "agreement").when(~F.coalesce(F.bool_or("is_condorcet_winner"), F.lit(False)), "cycle").otherwise("bt_inflated")
+    return f.groupBy("prompt").agg(cls.alias("class"))
 
 
 @R.add("b17_substance_group", f"WITH {DIMTABLE}, feat AS ({V.CTE['feat'][1]}) SELECT grp, count(*) AS n FROM feat JOIN st ON st.id = strategy_id GROUP BY 1")
@@ -190,11 +199,11 @@ def c9(s, d):
     return V.features(s, d).where("strategy_id is not null").select("feature_id", "strategy_id")
 
 
-@R.add("c11_active_features", sql("feat", "SELECT name, n FROM (SELECT 'n_bold' AS name, count_if(n_bold > 0) AS n FROM feat UNION ALL SELECT 'n_bullet_items', count_if(n_bullet_items > 0) FROM feat UNION ALL SELECT 'n_numbered_items', count_if(n_numbered_items > 0) FROM feat UNION ALL SELECT 'n_code_blocks', count_if(n_code_blocks > 0) FROM feat) WHERE n >= 20"))
+@R.add("c11_active_features", sql("feat", "SELECT name, n FROM (SELECT 'n_bold' AS name, count_if(n_bold > 0) AS n FROM feat UNION ALL SELECT 'n_bullet_items', count_if(n_bullet_items > 0) FROM feat UNION ALL SELECT 'n_numbered_items', count_if(n_numbered_items > 0) FROM feat UNION ALL SELECT 'n_code_blocks', count_if(n_code_blocks > 0) FROM feat) WHERE n >= 50"))
 def c11(s, d):
     cols = ("n_bold", "n_bullet_items", "n_numbered_items", "n_code_blocks")
     one = V.features(s, d).agg(*(F.count_if(F.col(c) > 0).alias(c) for c in cols))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in cols))).alias("x")).select("x.*").where("n >= 20")
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in cols))).alias("x")).select("x.*").where("n >= 50")
 
 
 @R.add("d1_split_join", sql("feat pref", "SELECT pref_id, split FROM pref JOIN (SELECT prompt, min(split) AS split FROM feat WHERE split IS NOT NULL GROUP BY 1) f USING (prompt)"))
@@ -226,22 +235,25 @@ def d5(s, d):
     return V.features(s, d).select("feature_id").join(one, "feature_id", "left")
 
 
-@R.add("d6_prefix_join", sql("entries feat", "SELECT f.feature_id, e.entry_id FROM feat f JOIN (SELECT substr(instruction, 1, 200) AS k, max(entry_id) AS entry_id FROM entries WHERE instruction IS NOT NULL GROUP BY 1) e ON substr(f.prompt, 1, 200) = e.k"))
+N = lambda c: f"regexp_replace(lower({c}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g')"
+
+
+@R.add("d6_prefix_join", sql("feat", f"SELECT f.feature_id, e.row_id FROM feat f JOIN (SELECT substr({N('instruction')}, 1, 200) AS k, max(row_id) AS row_id FROM custom_test_data WHERE instruction IS NOT NULL GROUP BY 1) e ON substr({N('f.prompt')}, 1, 200) = e.k"))
 def d6(s, d):
-    """Equality of the first 200 characters, the last writer of a prefix winning (the operator's own rule)."""
-    e = V.entries(s, d).where("instruction is not null").groupBy(F.substring("instruction", 1, 200).alias("k")).agg(F.max("prompt_id").alias("entry_id"))
-    return V.features(s, d).select("feature_id", F.substring("prompt", 1, 200).alias("k")).join(e, "k").select("feature_id", "entry_id")
+    """Equality of the first 200 characters of the prompt, however it was typed; the last writer of a prefix wins (the operator's own rule)."""
+    e = table(s, d, "custom_test_data", "row_id", "instruction").where("instruction is not null").groupBy(F.substring(X.normal(F.col("instruction")), 1, 200).alias("k")).agg(F.max("row_id").alias("row_id"))
+    return V.features(s, d).select("feature_id", F.substring(X.normal(F.col("prompt")), 1, 200).alias("k")).join(e, "k").select("feature_id", "row_id")
 
 
-@R.add("d8_text_match", sql("feat resp", "SELECT f.feature_id, coalesce(x.c, p.c) AS completion_id FROM feat f LEFT JOIN (SELECT response AS r, min(completion_id) AS c FROM resp GROUP BY 1) x ON x.r = f.response_text LEFT JOIN (SELECT substr(response, 1, 30) AS r, min(completion_id) AS c FROM resp GROUP BY 1) p ON p.r = substr(f.response_text, 1, 30) WHERE coalesce(x.c, p.c) IS NOT NULL"))
+@R.add("d8_text_match", sql("resp", "SELECT f.row_id, coalesce(x.c, p.c) AS completion_id, x.c IS NOT NULL AS exact FROM custom_test_data f LEFT JOIN (SELECT response AS r, min(completion_id) AS c FROM resp GROUP BY 1) x ON x.r = f.chosen LEFT JOIN (SELECT substr(response, 1, 200) AS r, min(completion_id) AS c FROM resp GROUP BY 1) p ON p.r = substr(f.chosen, 1, 200) WHERE coalesce(x.c, p.c) IS NOT NULL"))
 def d8(s, d):
-    """Exact text, else the first match of the prefix; 30 characters here, where openings are shared."""
+    """Exact text, else the first match of the 200-character prefix (the operator's own rule)."""
     r = V.responses(s, d).where("response is not null")
     x = r.groupBy(F.col("response").alias("rx")).agg(F.min("completion_id").alias("cx"))
-    p = r.groupBy(F.substring("response", 1, 30).alias("rp")).agg(F.min("completion_id").alias("cp"))
-    f = V.features(s, d).select("feature_id", "response_text")
-    j = f.join(x, F.col("rx") == F.col("response_text"), "left").join(p, F.col("rp") == F.substring("response_text", 1, 30), "left")
-    return j.select("feature_id", F.coalesce("cx", "cp").alias("completion_id")).where("completion_id is not null")
+    p = r.groupBy(F.substring("response", 1, 200).alias("rp")).agg(F.min("completion_id").alias("cp"))
+    f = table(s, d, "custom_test_data", "row_id", "chosen")
+    j = f.join(x, F.col("rx") == F.col("chosen"), "left").join(p, F.col("rp") == F.substring("chosen", 1, 200), "left")
+    return j.select("row_id", F.coalesce("cx", "cp").alias("completion_id"), F.col("cx").isNotNull().alias("exact")).where("completion_id is not null")
 
 
 @R.add("d9_ordered_pairs", w("resp", RP, "SELECT prompt_id, i, j FROM rp"))
@@ -249,10 +261,11 @@ def d9(s, d):
     return V.pairs(V.entries(s, d)).select("prompt_id", F.col("a.idx").alias("i"), F.col("b.idx").alias("j"))
 
 
-@R.add("d11_common_prompts", sql("entries feat", "SELECT instruction AS prompt FROM entries INTERSECT SELECT prompt FROM feat INTERSECT SELECT instruction FROM custom_test_data"))
+@R.add("d11_common_prompts", sql("pref feat", f"SELECT {N('prompt')} AS prompt FROM pref INTERSECT SELECT {N('prompt')} FROM feat INTERSECT SELECT {N('instruction')} FROM custom_test_data"))
 def d11(s, d):
-    a = V.entries(s, d).select(F.col("instruction").alias("prompt"))
-    return a.intersect(V.features(s, d).select("prompt")).intersect(table(s, d, "custom_test_data", "instruction"))
+    """Prompts, however they were typed, that three result sets share."""
+    one = lambda df, c: df.select(X.normal(F.col(c)).alias("prompt"))
+    return one(V.preferences(s, d), "prompt").intersect(one(V.features(s, d), "prompt")).intersect(one(table(s, d, "custom_test_data", "instruction"), "instruction"))
 
 
 @R.add("d12_model_vs_model", sql("resp", "SELECT a.model AS model_a, b.model AS model_b, count(*) AS n, round(avg(a.avg - b.avg), 6) AS gap FROM resp a JOIN resp b ON a.prompt_id = b.prompt_id AND a.model < b.model WHERE a.avg IS NOT NULL AND b.avg IS NOT NULL GROUP BY 1, 2"))
@@ -275,9 +288,11 @@ def d15(s, d):
     return both.agg(F.count_if(F.col("a") & F.col("b")).alias("shared"))
 
 
-@R.add("d16_worker_merge", sql("entries pref", "SELECT e.entry_id, p.pref_id FROM entries e JOIN pref p ON p.prompt = e.instruction"))
+@R.add("d16_worker_merge", sql("feat pref", f"SELECT e.feature_id, p.pref_id FROM feat e JOIN pref p ON {N('p.prompt')} = {N('e.prompt')}"))
 def d16(s, d):
-    return V.entries(s, d).select(F.col("prompt_id").alias("entry_id"), F.col("instruction").alias("prompt")).join(V.preferences(s, d).select("pref_id", "prompt"), "prompt").select("entry_id", "pref_id")
+    """Two workers' outputs merged by prompt, however it was typed; what only one has is skipped."""
+    e = V.features(s, d).select("feature_id", X.normal(F.col("prompt")).alias("k"))
+    return e.join(V.preferences(s, d).select("pref_id", X.normal(F.col("prompt")).alias("k")), "k").select("feature_id", "pref_id")
 
 
 @R.add("e1_dimension_pairs", w("resp", DP, "SELECT prompt_id, i, j, dimension, si, sj, margin FROM dp WHERE margin >= 2"))
@@ -329,16 +344,18 @@ def e7(s, d):
     return p.groupBy("prompt").agg(F.count("*").alias("num_comparisons"), F.size(F.array_distinct(F.flatten(F.collect_list(F.array("chosen", "rejected"))))).alias("num_responses"))
 
 
-CY = ", ".join(f"('{x}', '{y}', '{z}')" for x, y, z in B.CYCLE_CONFIGS)
-CYC = "ct AS (" + " UNION ALL ".join(f"SELECT a.prompt_id, a.idx AS a, b.idx AS b, c.idx AS c, '{x}-{y}-{z}' AS cycle_config FROM resp a JOIN resp b ON a.prompt_id = b.prompt_id AND a.idx < b.idx AND a.{x} > b.{x} JOIN resp c ON c.prompt_id = a.prompt_id AND a.idx < c.idx AND b.idx <> c.idx AND b.{y} > c.{y} AND c.{z} > a.{z}" for x, y, z in B.CYCLE_CONFIGS) + ")"
+# The configurations again, from their definition and not from the operator.
+CY = {"Cyclic_1": ("o", "t", "h"), "Cyclic_2": ("f", "t", "h"), "Cyclic_3": ("f", "o", "h"), "Cyclic_4": ("f", "o", "t")}
+_ok = lambda m: " AND ".join(f"{x}.{d} IS NOT NULL" for x in "abc" for d in m)
+CYC = "ct AS (" + " UNION ALL ".join(f"SELECT a.prompt_id, a.idx AS a, b.idx AS b, c.idx AS c, '{n}' AS cycle_config, ['{DIMS[x]}', '{DIMS[y]}', '{DIMS[z]}'] AS dims, [a.{x} - b.{x}, b.{y} - c.{y}, c.{z} - a.{z}] AS margins FROM resp a JOIN resp b ON a.prompt_id = b.prompt_id AND a.idx <> b.idx JOIN resp c ON c.prompt_id = a.prompt_id AND c.idx <> a.idx AND c.idx <> b.idx WHERE a.{x} > b.{x} AND b.{y} > c.{y} AND c.{z} > a.{z} AND {_ok((x, y, z))}" for n, (x, y, z) in CY.items()) + ")"
 
 
-@R.add("e8_cyclic_triples", w("resp", CYC, "SELECT * FROM ct"))
+@R.add("e8_cyclic_triples", w("resp", CYC, "SELECT prompt_id, a, b, c, cycle_config FROM ct"))
 def e8(s, d):
-    return B.cyclic_triples(V.entries(s, d))
+    return B.cyclic_triples(V.entries(s, d)).select("prompt_id", "a", "b", "c", "cycle_config")
 
 
-@R.add("e9_cyclic_pairs", w("resp", CYC, "SELECT prompt_id, cycle_config, a AS chosen, b AS rejected FROM ct UNION ALL SELECT prompt_id, cycle_config, b, c FROM ct UNION ALL SELECT prompt_id, cycle_config, c, a FROM ct"))
+@R.add("e9_cyclic_pairs", w("resp", CYC, " UNION ALL ".join(f"SELECT prompt_id, cycle_config, {x} AS chosen, {y} AS rejected, dims[{k}] AS dimension, margins[{k}] AS margin FROM ct" for k, (x, y) in enumerate(("ab", "bc", "ca"), 1))))
 def e9(s, d):
     return B.cyclic_pairs(B.cyclic_triples(V.entries(s, d)))
 
@@ -368,9 +385,24 @@ def e12(s, d):
     return p.withColumn("r", F.row_number().over(Window.partitionBy("prompt_id").orderBy(h, "dimension"))).where("r <= 5").select("prompt_id", "i", "j", "dimension")
 
 
-@R.add("k7_request_files", sql("feat", "SELECT 1").replace(" SELECT 1", ", z AS (SELECT feature_id, length(response_text) AS b, feature_id // 64 AS g FROM feat WHERE response_text IS NOT NULL) SELECT feature_id, g AS part, CAST(floor((sum(b) OVER (PARTITION BY g ORDER BY feature_id) - b) / 4000) AS BIGINT) AS file_no FROM z"))
+BATCH, BYTES = 50, 12_000
+K7 = f"""z AS (SELECT feature_id, octet_length(encode(response_text)) AS b, row_number() OVER (ORDER BY feature_id) - 1 AS pos FROM feat WHERE response_text IS NOT NULL),
+ y AS (SELECT *, pos // {BATCH} AS batch, pos % {BATCH} AS seq FROM z),
+ f AS (SELECT batch, seq, feature_id, b AS held, 0 AS file_no FROM y WHERE seq = 0 UNION ALL SELECT y.batch, y.seq, y.feature_id, CASE WHEN f.held + y.b > {BYTES} THEN y.b ELSE f.held + y.b END, CASE WHEN f.held + y.b > {BYTES} THEN f.file_no + 1 ELSE f.file_no END FROM f JOIN y ON y.batch = f.batch AND y.seq = f.seq + 1)"""
+
+
+@R.add("k7_request_files", w("feat", K7, "SELECT feature_id, batch, file_no FROM f").replace("WITH ", "WITH RECURSIVE ", 1))
 def k7(s, d):
-    """File numbers capped by size: running bytes inside fixed parts, so no task sorts everything."""
-    f = V.features(s, d).where("response_text is not null").select("feature_id", F.length("response_text").alias("b"), F.floor(F.col("feature_id") / 64).alias("part"))
-    run = F.sum("b").over(Window.partitionBy("part").orderBy("feature_id").rowsBetween(Window.unboundedPreceding, 0))
-    return f.select("feature_id", "part", F.floor((run - F.col("b")) / 4000).alias("file_no"))
+    """Files of requests capped by count and by size: batches of BATCH requests in the order of ids; inside one a new file
+    begins where the next request would pass BYTES (one longer than that has a file of its own). A batch is one small array."""
+    f = V.features(s, d).where("response_text is not null").select("feature_id", F.octet_length("response_text").alias("b"))
+    g = SA.running(f, "feature_id", None, "pos").groupBy(F.floor(F.col("pos") / BATCH).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("feature_id", "b"))).alias("xs"))
+    start = F.struct(F.lit(0).alias("held"), F.lit(0).alias("file_no"), F.array().cast("array<int>").alias("files"))
+
+    def step(acc, x):
+        new = (acc["held"] + x["b"] > BYTES) & (acc["held"] > 0)
+        no = acc["file_no"] + new.cast("int")
+        return F.struct(F.when(new, x["b"]).otherwise(acc["held"] + x["b"]).alias("held"), no.alias("file_no"), F.array_append(acc["files"], no).alias("files"))
+
+    g = g.withColumn("files", F.aggregate("xs", start, step)["files"])
+    return g.select("batch", F.explode(F.arrays_zip("xs", "files")).alias("z")).select(F.col("z.xs.feature_id").alias("feature_id"), "batch", F.col("z.files").alias("file_no"))

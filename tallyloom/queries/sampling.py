@@ -12,22 +12,30 @@ from tallyloom.session import table
 
 REGISTRY = R = Registry()
 r6 = lambda c: F.round(c, 6)
-H = lambda k, s=7: f"((({k}) % 4294967296) * 2654435761 + {s}) % 4294967296"
+H = lambda k, s=7: f"((({k}) % 2147483648) * 2654435761 + {s}) % 4294967296"
 
 
 def w(base, extra, body):
     return sql(base, "SELECT 1").replace(" SELECT 1", (", " + extra if extra else "") + " " + body)
 
 
-def entry_split(name, a, b, seed):
-    @R.add(name, w("entries", f"ps AS (SELECT entry_id, row_number() OVER (ORDER BY {H('entry_id', seed)}, entry_id) - 1 AS pos, count(*) OVER () AS n FROM entries)", f"SELECT entry_id, CASE WHEN pos < floor(n * {a}) THEN 'train' WHEN pos < floor(n * {a}) + floor(n * {b}) THEN 'validation' ELSE 'test' END AS split FROM ps"))
+MD = lambda c: f"('0x' || substr(md5({c}), 1, 8))::BIGINT"
+
+
+def prompt_split(name, a, b, seed):
+    ps = f"up AS (SELECT DISTINCT instruction FROM entries WHERE instruction IS NOT NULL), ps AS (SELECT instruction, row_number() OVER (ORDER BY {H(MD('instruction'), seed)}, instruction) - 1 AS pos, count(*) OVER () AS n FROM up)"
+
+    @R.add(name, w("entries", ps, f"SELECT entry_id, CASE WHEN pos < floor(n * {a}) THEN 'train' WHEN pos < floor(n * {a}) + floor(n * {b}) THEN 'validation' ELSE 'test' END AS split FROM entries JOIN ps USING (instruction)"))
     def run(s, d):
-        e = V.entries(s, d).select(F.col("prompt_id").alias("entry_id"))
-        return SA.split_by_position(SA.shuffled_position(e, "entry_id", seed), e.count(), (("train", a), ("validation", b), ("test", 0))).select("entry_id", "split")
+        """Unique prompts in hash order (by their text, so ties are told apart); every entry follows its prompt."""
+        e = V.entries(s, d).where("instruction is not null").select(F.col("prompt_id").alias("entry_id"), "instruction")
+        u = e.select("instruction").distinct().withColumn("key", SA.text_key(F.col("instruction")))
+        u = SA.split_by_position(SA.shuffled_position(u, "key", seed, "instruction"), u.count(), (("train", a), ("validation", b), ("test", 0)))
+        return e.join(u, "instruction").select("entry_id", "split")
 
 
-entry_split("f1_split_80_10_10", 0.8, 0.1, 7)
-entry_split("f2_split_90_5_5", 0.9, 0.05, 11)
+prompt_split("f1_split_80_10_10", 0.8, 0.1, 7)
+prompt_split("f2_split_90_5_5", 0.9, 0.05, 11)
 
 
 def ordinal_split(name, share, cap):
@@ -35,17 +43,11 @@ def ordinal_split(name, share, cap):
 
     @R.add(name, w("pref", "ps AS (SELECT pref_id, row_number() OVER (ORDER BY pref_id) - 1 AS pos, count(*) OVER () AS n FROM pref)", f"SELECT pref_id, pos < floor(n * {share}) AS train FROM ps WHERE true{limit}"))
     def run(s, d):
-        """Positions by rank of the id among ranges of ids."""
-        from pyspark.sql import Window
-
-        p = V.preferences(s, d).select("pref_id").withColumn("range", F.floor(F.col("pref_id") / 1024))
-        c = p.groupBy("range").agg(F.count("*").alias("c"))
-        c = c.withColumns({"start": F.coalesce(F.sum("c").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("c").over(Window.partitionBy())})
-        p = p.withColumn("r", F.row_number().over(Window.partitionBy("range").orderBy("pref_id")) - 1).join(c, "range").withColumn("pos", F.col("start") + F.col("r"))
-        cut = F.floor(F.col("n") * share)
-        if cap:
-            p = p.where(F.col("pos") < cut + cap)
-        return p.select("pref_id", (F.col("pos") < cut).alias("train"))
+        """Positions by rank of the id."""
+        p = V.preferences(s, d).select("pref_id")
+        n = p.count()
+        z = SA.running(p, "pref_id", None, "pos")
+        return (z.where(F.col("pos") < int(n * share) + cap) if cap else z).select("pref_id", (F.col("pos") < int(n * share)).alias("train"))
 
 
 ordinal_split("f3_prefix_split", 0.9, 20)
@@ -74,22 +76,45 @@ def f7(s, d):
     return table(s, d, "custom_test_data", "row_id", "instruction").where("row_id between 1000 and 1999")
 
 
-@R.add("f8_group_shuffle", f"SELECT row_id, g AS group_id, CAST((dense_rank() OVER (ORDER BY {H('g', 23)}, g) - 1) % 4 AS INT) AS replica FROM (SELECT row_id, row_id // 4 AS g FROM custom_test_data)")
-def f8(s, d):
-    c = table(s, d, "custom_test_data", "row_id").withColumn("group_id", F.floor(F.col("row_id") / 4))
-    g = SA.shuffled_position(c.select("group_id").distinct(), "group_id", 23)
-    return c.join(g, "group_id").select("row_id", "group_id", (F.col("pos") % 4).cast("int").alias("replica"))
+F8 = f"gp AS (SELECT g, row_number() OVER (ORDER BY {H('g', 23)}, g) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT row_id // 4 AS g FROM custom_test_data)), al AS (SELECT g, pos, false AS padding FROM gp UNION ALL SELECT g, n + pos, true FROM gp WHERE pos < (4 - n % 4) % 4)"
 
 
-@R.add("f9_dimension_resample", w("pref", f"rk AS (SELECT pref_id, dimension, row_number() OVER (PARTITION BY dimension ORDER BY {H('pref_id', 29)}, pref_id) AS r, count(*) OVER (PARTITION BY dimension) AS n FROM pref WHERE dimension IS NOT NULL)", "SELECT pref_id, dimension, c AS copy FROM rk, (SELECT unnest(range(0, 10)) AS c) WHERE r + c * n <= 150"))
-def f9(s, d):
-    """150 rows a dimension: the first in hash order, repeated in rounds where a dimension is short."""
-    from pyspark.sql import Window
+def grouped_shuffle(name, pad):
+    keep = "true" if pad else "pos < (SELECT count(*) // 4 * 4 FROM gp)"
 
-    p = V.preferences(s, d).where("dimension is not null").select("pref_id", "dimension")
-    wd = Window.partitionBy("dimension")
-    p = p.withColumns({"r": F.row_number().over(wd.orderBy(SA.hash32(F.col("pref_id"), 29), "pref_id")), "n": F.count("*").over(wd)})
-    return p.select("pref_id", "dimension", "r", "n", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("copy")).where("r + copy * n <= 150").select("pref_id", "dimension", "copy")
+    @R.add(name, f"WITH {F8} SELECT row_id, g AS group_id, CAST(pos % 4 AS INT) AS replica, padding FROM al JOIN custom_test_data ON row_id // 4 = g WHERE {keep}" + ("" if pad else " AND NOT padding"))
+    def run(s, d):
+        """Groups in hash order, dealt to four replicas; the first groups again, or the last ones not, until all replicas have as many."""
+        c = table(s, d, "custom_test_data", "row_id").withColumn("group_id", F.floor(F.col("row_id") / 4))
+        g = SA.shuffled_position(c.select("group_id").distinct(), "group_id", 23)
+        n = g.count()
+        if pad:
+            more = g.where(F.col("pos") < (4 - n % 4) % 4)
+            g = g.select("group_id", "pos", F.lit(False).alias("padding")).unionByName(more.select("group_id", (F.col("pos") + n).alias("pos"), F.lit(True).alias("padding")))
+        else:
+            g = g.where(F.col("pos") < n // 4 * 4).select("group_id", "pos", F.lit(False).alias("padding"))
+        return c.join(g, "group_id").select("row_id", "group_id", (F.col("pos") % 4).cast("int").alias("replica"), "padding")
+
+
+grouped_shuffle("f8_group_shuffle", True)
+grouped_shuffle("f8_group_shuffle_dropped", False)
+
+# Share of the rows that each dimension is to have afterwards; the first is more than it has, so it is repeated.
+TARGET = {"honesty": 0.5, "helpfulness": 0.1, "truthfulness": 0.1}
+F9 = "tg AS (SELECT d AS dimension, floor((SELECT count(*) FROM pref) * x) AS target FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in TARGET.items()) + f") t(d, x)), rk AS (SELECT pref_id, dimension, target, row_number() OVER (PARTITION BY dimension ORDER BY {H('pref_id', 29)}, pref_id) - 1 AS r, count(*) OVER (PARTITION BY dimension) AS n FROM pref JOIN tg USING (dimension))"
+
+
+@R.add("f9_dimension_resample", w("pref", F9, "SELECT pref_id, dimension, CAST(c AS INT) AS copy FROM (SELECT pref_id, dimension, r, n, target, unnest(range(0, CAST(ceil(target / n) AS BIGINT))) AS c FROM rk) WHERE r + c * n < target"))
+def f9(s, d):
+    """Target counts by dimension: the first in hash order, in rounds over all of them where a dimension is short."""
+    p = V.preferences(s, d).select("pref_id", "dimension")
+    total = p.count()
+    goal = F.element_at(F.create_map(*(F.lit(x) for k, v in TARGET.items() for x in (k, int(total * v)))), F.col("dimension"))
+    p = p.where(F.col("dimension").isin(*TARGET))
+    n = F.broadcast(p.groupBy("dimension").agg(F.count("*").alias("n")))  # a row a dimension
+    z = SA.shuffled_position(p, "pref_id", 29, by=("dimension",)).join(n, "dimension").withColumn("target", goal)
+    z = z.where(F.col("pos") < F.col("target")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("target") - 1 - F.col("pos")) / F.col("n")).cast("int"))))
+    return z.select("pref_id", "dimension", "copy")
 
 
 @R.add("f10_cycle_oversample", sql("feat", "SELECT feature_id, c AS copy FROM feat, (SELECT unnest(range(0, 3)) AS c) WHERE c = 0 OR has_cycle"))
@@ -122,11 +147,16 @@ def f12(s, d):
     return gen(s).select("k", F.greatest("i", "j").alias("chosen"), F.least("i", "j").alias("rejected"))
 
 
-@R.add("f13_local_cycles", "SELECT 3 * c + leg AS k, 1 + (c + leg) % 100 AS chosen, CASE WHEN leg = 2 THEN 1 + c % 100 ELSE 2 + (c + leg) % 100 END AS rejected, c AS cycle_id FROM (SELECT unnest(range(0, 97)) AS c) CROSS JOIN (SELECT unnest(range(0, 3)) AS leg)")
+POISON = 97
+
+
+@R.add("f13_local_cycles", f"WITH {GEN} SELECT k, greatest(i, j) AS chosen, least(i, j) AS rejected, NULL::BIGINT AS cycle_id FROM gen WHERE k < 1000 - 3 * {POISON} UNION ALL SELECT 1000 - 3 * {POISON} + 3 * c + leg, 1 + c % 97 + leg, CASE WHEN leg = 2 THEN 1 + c % 97 ELSE 2 + c % 97 + leg END, 1 + c % 97 FROM (SELECT unnest(range(0, {POISON})) AS c) CROSS JOIN (SELECT unnest(range(0, 3)) AS leg)")
 def f13(s, d):
-    """i > i+1 > i+2 > i: three rows a cycle."""
-    c = s.range(97).withColumnRenamed("id", "c").select("c", F.explode(F.array(*map(F.lit, range(3)))).alias("leg"))
-    return c.select((3 * F.col("c") + F.col("leg")).alias("k"), (1 + (F.col("c") + F.col("leg")) % 100).alias("chosen"), F.when(F.col("leg") == 2, 1 + F.col("c") % 100).otherwise(2 + (F.col("c") + F.col("leg")) % 100).alias("rejected"), F.col("c").alias("cycle_id"))
+    """i > i+1 > i+2 > i: three rows a cycle, in place of the last clean rows."""
+    clean = gen(s).where(F.col("k") < 1000 - 3 * POISON).select("k", F.greatest("i", "j").alias("chosen"), F.least("i", "j").alias("rejected"), F.lit(None).cast("bigint").alias("cycle_id"))
+    c = s.range(POISON).withColumnRenamed("id", "c").select("c", (1 + F.col("c") % 97).alias("i"), F.explode(F.array(*map(F.lit, range(3)))).alias("leg"))
+    bad = c.select((1000 - 3 * POISON + 3 * F.col("c") + F.col("leg")).alias("k"), (F.col("i") + F.col("leg")).alias("chosen"), F.when(F.col("leg") == 2, F.col("i")).otherwise(F.col("i") + 1 + F.col("leg")).alias("rejected"), F.col("i").alias("cycle_id"))
+    return clean.unionByName(bad)
 
 
 @R.add("f14_global_inversion", "SELECT a AS chosen, 10 * b AS rejected FROM (SELECT unnest(range(1, 6)) AS a) CROSS JOIN (SELECT unnest(range(1, 11)) AS b)")
@@ -151,34 +181,59 @@ def f16(s, d):
     return f11(s, d).join(V.preferences(s, d).select("pref_id", "dimension"), "pref_id").groupBy("dimension", "is_poisoned").agg(F.count("*").alias("n"))
 
 
-@R.add("f17_anti_length")
+# All answers by length, then hash, id and side; an answer's longer ones are the end of that order.
+F17 = f"""sr AS (SELECT pref_id, rejected, length(rejected) AS len FROM pref WHERE rejected IS NOT NULL AND chosen IS NOT NULL),
+ an AS (SELECT pref_id, 0 AS side, chosen AS text FROM pref WHERE rejected IS NOT NULL AND chosen IS NOT NULL UNION ALL SELECT pref_id, 1, rejected FROM sr),
+ od AS (SELECT *, row_number() OVER (ORDER BY length(text), {H('pref_id * 2 + side', 43)}, pref_id, side) - 1 AS pos FROM an),
+ sz AS (SELECT length(text) AS len, max(pos) + 1 AS after FROM od GROUP BY 1),
+ ow AS (SELECT s.*, z.after, (SELECT count(*) FROM od) AS m, c.pos AS own_c, r.pos AS own_r, {H('s.pref_id', 47)} AS h FROM sr s JOIN sz z USING (len) JOIN od c ON c.pref_id = s.pref_id AND c.side = 0 JOIN od r ON r.pref_id = s.pref_id AND r.side = 1),
+ lg AS (SELECT *, CASE WHEN own_c >= after THEN 1 ELSE 0 END AS own_longer FROM ow),
+ pk AS (SELECT *, CASE WHEN m - after - own_longer > 0 THEN after + h % (m - after - own_longer) ELSE h % (m - 2) END AS p, m - after - own_longer > 0 AS longer FROM lg WHERE m > 2),
+ tg AS (SELECT *, CASE WHEN longer THEN p + CASE WHEN own_longer = 1 AND p >= own_c THEN 1 ELSE 0 END ELSE p + CASE WHEN p >= least(own_c, own_r) THEN 1 ELSE 0 END + CASE WHEN p + CASE WHEN p >= least(own_c, own_r) THEN 1 ELSE 0 END >= greatest(own_c, own_r) THEN 1 ELSE 0 END END AS target FROM pk)"""
+
+
+@R.add("f17_anti_length", w("pref", F17, "SELECT tg.pref_id, tg.rejected AS chosen, od.text AS rejected, longer FROM tg JOIN od ON od.pos = target"))
 def f17(s, d):
-    """The rejected answer becomes chosen and a longer answer of another prompt is rejected. Lengths are cut into
-    ranges; an answer's partner is a hash-picked one of the next longer range that is occupied, so no range join is needed."""
+    """Every row's rejected answer becomes chosen, and a longer answer of another row is rejected, drawn by hash from
+    all of them, chosen and rejected ones; where none is longer, from all others. Places in the order by length are counted by
+    length and hash range, so nothing is sorted whole, and a drawn answer is found by its place: an equal join."""
     from pyspark.sql import Window
 
-    p = V.preferences(s, d).where("prompt is not null and rejected is not null").select("pref_id", "prompt", "rejected", F.length("rejected").alias("len"))
-    p = p.withColumn("range", F.floor(F.log2(F.col("len") + 1) * 8).cast("int"))
-    size = p.groupBy("range").agg(F.count("*").alias("n"))
-    size = size.withColumn("next", F.lead("range").over(Window.orderBy("range")))  # a few hundred ranges
-    nxt = size.select(F.col("range").alias("next"), F.col("n").alias("n_next"))
-    at = p.withColumn("slot", F.row_number().over(Window.partitionBy("range").orderBy(SA.hash32(F.col("pref_id"), 43), "pref_id")) - 1)
-    ask = p.join(F.broadcast(size), "range").join(F.broadcast(nxt), "next").withColumn("slot", F.pmod(SA.hash32(F.col("pref_id"), 47), F.col("n_next")).cast("int"))
-    give = at.select(F.col("range").alias("next"), "slot", F.col("prompt").alias("other_prompt"), F.col("rejected").alias("longer"))
-    j = ask.join(give, ["next", "slot"]).where("prompt <> other_prompt and length(longer) > len")
-    return j.select("pref_id", F.col("rejected").alias("chosen"), F.col("longer").alias("rejected"))
+    p = V.preferences(s, d).where("rejected is not null and chosen is not null").select("pref_id", "chosen", "rejected")
+    side = lambda k, c: F.struct(F.lit(k).alias("side"), F.col(c).alias("text"))
+    a = p.select("pref_id", F.explode(F.array(side(0, "chosen"), side(1, "rejected"))).alias("x")).select("pref_id", "x.side", "x.text", F.length("x.text").alias("len"))
+    a = SA.shuffled_position(a.withColumn("key", F.col("pref_id") * 2 + F.col("side")), "key", 43, by=("len",))
+    size = a.groupBy("len").agg(F.count("*").alias("n"))  # a row a length
+    size = size.select("len", "n", F.sum("n").over(Window.orderBy("len").rowsBetween(Window.unboundedPreceding, 0)).alias("after"))
+    a = a.join(F.broadcast(size), "len").withColumn("pos", F.col("after") - F.col("n") + F.col("pos"))
+    m = a.count()
+    if m <= 2:
+        return p.limit(0).select("pref_id", F.col("rejected").alias("chosen"), "rejected", F.lit(True).alias("longer"))
+    own = a.groupBy("pref_id").agg(*(F.max(F.when(F.col("side") == k, F.col(c))).alias(n) for k, c, n in ((0, "pos", "own_c"), (1, "pos", "own_r"), (1, "after", "after"))))
+    h, after, c, r = SA.hash32(F.col("pref_id"), 47), F.col("after"), F.col("own_c"), F.col("own_r")
+    rest = m - after - (c >= after).cast("bigint")  # longer answers of other rows
+    far = after + F.pmod(h, F.greatest(rest, F.lit(1)))
+    far = far + ((c >= after) & (far >= c)).cast("bigint")
+    any_ = F.pmod(h, F.lit(m - 2))
+    any_ = any_ + (any_ >= F.least(c, r)).cast("bigint")
+    any_ = any_ + (any_ >= F.greatest(c, r)).cast("bigint")
+    ask = own.select("pref_id", (rest > 0).alias("longer"), F.when(rest > 0, far).otherwise(any_).alias("pos"))
+    drawn = ask.join(a.select("pos", F.col("text").alias("drawn")), "pos")
+    return drawn.join(p.select("pref_id", "rejected"), "pref_id").select("pref_id", F.col("rejected").alias("chosen"), F.col("drawn").alias("rejected"), "longer")
 
 
 N = "(SELECT count(*) FROM z)"
 
 
-@R.add("f18_relevance", w("pref", f"z AS (SELECT pref_id, prompt, chosen, row_number() OVER (ORDER BY {H('pref_id', 53)}, pref_id) - 1 AS pos FROM pref WHERE prompt IS NOT NULL AND chosen IS NOT NULL)", f"SELECT a.pref_id, b.pref_id AS foreign_id FROM z a JOIN z b ON b.pos = (a.pos + 1) % {N} WHERE a.prompt <> b.prompt"))
+@R.add("f18_relevance", w("pref", f"z AS (SELECT pref_id, chosen, rejected, row_number() OVER (ORDER BY {H('pref_id', 53)}, pref_id) - 1 AS pos FROM pref WHERE rejected IS NOT NULL AND chosen IS NOT NULL)", f"SELECT a.pref_id, b.pref_id AS foreign_id, a.chosen, CASE WHEN {H('a.pref_id', 73)} % 2 = 0 THEN b.chosen ELSE b.rejected END AS rejected FROM z a JOIN z b ON b.pos = (a.pos + 1) % {N} WHERE a.pref_id <> b.pref_id"))
 def f18(s, d):
-    """Chosen against the chosen of the next row in hash order, where that is of another prompt."""
-    z = SA.shuffled_position(V.preferences(s, d).where("prompt is not null and chosen is not null").select("pref_id", "prompt"), "pref_id", 53)
+    """Every row's chosen answer against either answer of the next row in hash order."""
+    p = V.preferences(s, d).where("rejected is not null and chosen is not null").select("pref_id", "chosen", "rejected")
+    z = SA.shuffled_position(p, "pref_id", 53)
     n = z.count()
-    b = z.select(F.col("pref_id").alias("foreign_id"), F.col("prompt").alias("fp"), F.pmod(F.col("pos") - 1 + n, F.lit(max(1, n))).alias("pos"))
-    return z.join(b, "pos").where("prompt <> fp").select("pref_id", "foreign_id")
+    either = F.when(SA.hash32(F.col("pref_id"), 73) % 2 == 0, F.col("fc")).otherwise(F.col("fr"))
+    b = z.select(F.col("pref_id").alias("foreign_id"), F.col("chosen").alias("fc"), F.col("rejected").alias("fr"), F.pmod(F.col("pos") - 1 + n, F.lit(max(1, n))).alias("pos"))
+    return z.join(b, "pos").where("pref_id <> foreign_id").select("pref_id", "foreign_id", "chosen", either.alias("rejected"))
 
 
 @R.add("f19_augmentation_mix", w("pref", f"z AS (SELECT pref_id, row_number() OVER (ORDER BY {H('pref_id', 59)}, pref_id) - 1 AS pos, count(*) OVER () AS n FROM pref)", "SELECT pref_id, CASE WHEN pos < floor(floor(n * 0.5) * 0.4) THEN 'anti_length' ELSE 'relevance' END AS kind FROM z WHERE pos < floor(n * 0.5)"))
@@ -199,9 +254,25 @@ def a13(s, d):
     return parts[0].unionByName(parts[1]).where(F.col("at") < stop)
 
 
-@R.add("z1_requests", sql("feat", f"SELECT 'idx_' || feature_id AS custom_id, length(response_text) AS chars FROM (SELECT feature_id, response_text FROM feat WHERE response_text IS NOT NULL ORDER BY {H('feature_id', 71)}, feature_id LIMIT 100) WHERE 'idx_' || feature_id NOT IN (SELECT custom_id FROM label_batches WHERE response IS NOT NULL AND custom_id IS NOT NULL)"))
+SYSTEM = "Name the strategy of the response as JSON."
+Z1 = f"""pl AS (SELECT feature_id, prompt, response_text FROM feat WHERE response_text IS NOT NULL ORDER BY {H('feature_id', 71)}, feature_id LIMIT 100)"""
+
+
+@R.add("z1_requests", w("feat", Z1, f"""SELECT 'idx_' || feature_id AS custom_id, 'POST' AS method, '/v1/chat/completions' AS url, '{SYSTEM}' AS system, '=== PROMPT ===' || chr(10) || prompt || chr(10) || chr(10) || '=== RESPONSE ===' || chr(10) || response_text AS user, 512 AS max_completion_tokens FROM pl WHERE 'idx_' || feature_id NOT IN (SELECT custom_id FROM label_batches WHERE response IS NOT NULL AND custom_id IS NOT NULL)"""))
 def z1(s, d):
-    """Pilot subset in hash order less the answered ids (a sampling operator)."""
-    f = V.features(s, d).where("response_text is not null").select("feature_id", "response_text").orderBy(SA.hash32(F.col("feature_id"), 71), "feature_id").limit(100)
+    """Pilot subset in hash order less the answered ids (a sampling operator): the nested request of each row as JSON text,
+    here read back field by field."""
+    j = lambda path: F.get_json_object("request", f"$.{path}")
+    r = requests(s, d)
+    return r.select(j("custom_id").alias("custom_id"), j("method").alias("method"), j("url").alias("url"), j("body.messages[0].content").alias("system"), j("body.messages[1].content").alias("user"), j("body.max_completion_tokens").cast("int").alias("max_completion_tokens"))
+
+
+def requests(s, d, model="judge"):
+    """(custom_id, request): one JSON text for each request that has no answer yet."""
+    f = V.features(s, d).where("response_text is not null").select("feature_id", "prompt", "response_text").orderBy(SA.hash32(F.col("feature_id"), 71), "feature_id").limit(100)
     done = table(s, d, "label_batches", "custom_id", "response").where("response is not null").select("custom_id")
-    return f.withColumn("custom_id", F.concat(F.lit("idx_"), F.col("feature_id").cast("string"))).join(done, "custom_id", "left_anti").select("custom_id", F.length("response_text").alias("chars"))
+    f = f.withColumn("custom_id", F.concat(F.lit("idx_"), F.col("feature_id").cast("string"))).join(done, "custom_id", "left_anti")
+    user = F.concat(F.lit("=== PROMPT ===\n"), "prompt", F.lit("\n\n=== RESPONSE ===\n"), "response_text")
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    body = F.struct(F.lit(model).alias("model"), F.array(message("system", F.lit(SYSTEM)), message("user", user)).alias("messages"), F.struct(F.lit("json_object").alias("type")).alias("response_format"), F.lit(512).alias("max_completion_tokens"), F.lit(0.0).alias("temperature"))
+    return f.select("custom_id", F.to_json(F.struct("custom_id", F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"), body.alias("body"))).alias("request"))

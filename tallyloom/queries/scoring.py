@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import scoring as S
 from tallyloom.plans import views as V
-from tallyloom.plans.views import sql
+from tallyloom.plans.views import skew_sql, sql
 from tallyloom.queries.registry import Registry
 
 REGISTRY = R = Registry()
@@ -30,35 +30,43 @@ def pairwise(name, expr, q):
 
 pairwise("h1_bt_prob", lambda: S.sigmoid((F.col("ri") - F.col("rj")) / 0.5), sig("((ri - rj) / 0.5)"))
 pairwise("h2_skew_2d", lambda: F.col("s2"), "s2")
-pairwise("h3_skew_score", lambda: F.col("s8"), "s8")
+pairwise("h3_skew_score", lambda: F.col("s"), "s")
 pairwise("h4_gated_skew", lambda: F.col("sg"), "sg")
-pairwise("h6_prob_matrix", lambda: S.sigmoid(F.col("s8") / 0.1), sig("(s8 / 0.1)"))
+pairwise("h6_prob_matrix", lambda: S.sigmoid(F.col("s") / 0.1), sig("(s / 0.1)"))
 pairwise("h7_score_table", lambda: F.col("ri") - F.col("rj"), "(ri - rj)")
 pairwise("h8_logit_difference", lambda: F.col("vi")[0] - F.col("vi")[1], "(vi[1] - vi[2])")
 pairwise("h11_scalar_prob", lambda: S.sigmoid(F.col("ri") - F.col("rj")), sig("(ri - rj)"))
-pairwise("z3_gated_unscaled", lambda: F.col("sg") / 4, "(sg / 4)")
+pairwise("z3_gated_unscaled", lambda: F.col("sg") / (F.size("vi") / 2), "(sg / (len(vi) // 2))")
 
-TAUS = (0.5, 1.0, 1.5, 2.0)  # learnable temperatures, given here
+TAUS = (0.5, 1.0, 1.5, 2.0)  # learnable temperatures, given here; block k has the k-th, over and over
 W5 = [1 / max(math.log1p(math.exp(-t)), 1e-2) for t in TAUS]
 
 
-@R.add("h5_tau_weighted_skew", sql("vec", "SELECT a.prompt_id, a.idx AS i, b.idx AS j, round(" + " + ".join(f"{w!r} * (a.v[{2 * k + 1}] * b.v[{2 * k + 2}] - a.v[{2 * k + 2}] * b.v[{2 * k + 1}])" for k, w in enumerate(W5)) + ", 6) AS x FROM vec a JOIN vec b ON a.prompt_id = b.prompt_id AND a.idx <> b.idx"))
+@R.add("h5_tau_weighted_skew", sql("vec", f"SELECT a.prompt_id, a.idx AS i, b.idx AS j, round({skew_sql('a.v', 'b.v', f'{W5!r}[(k - 1) % {len(W5)} + 1]')}, 6) AS x FROM vec a JOIN vec b ON a.prompt_id = b.prompt_id AND a.idx <> b.idx"))
 def h5(s, d):
     """Block weights 1 / max(softplus(-tau), 0.01)."""
-    w = F.array(*(F.lit(x) for x in W5 for _ in range(2)))
-    v = V.vectors(s, d).withColumn("jv", F.zip_with(w, S.turned(F.col("v")), lambda a, b: a * b))
+    w = F.array(*map(F.lit, W5))
+    weight = lambda x, k: x * F.get(w, F.pmod(F.floor(k / 2), F.lit(len(W5))).cast("int"))
+    v = V.vectors(s, d).withColumn("jv", F.transform(S.turned(F.col("v")), weight))
     g = v.groupBy("prompt_id").agg(F.collect_list(F.struct("idx", "v", "jv")).alias("rs"))
     p = g.select("prompt_id", "rs", F.explode("rs").alias("a")).select("prompt_id", "a", F.explode("rs").alias("b")).where("a.idx <> b.idx")
     return p.select("prompt_id", F.col("a.idx").alias("i"), F.col("b.idx").alias("j"), r6(S.dot(F.col("a.jv"), F.col("b.v"))).alias("x"))
 
 
-# A raw score table T that is not skew: s8 plus the row's reward.
-T = "tb AS (SELECT prompt_id, i, j, s8 + ri AS t FROM vp), tt AS (SELECT a.prompt_id, a.i, a.j, a.t AS tij, b.t AS tji FROM tb a JOIN tb b ON a.prompt_id = b.prompt_id AND a.i = b.j AND a.j = b.i)"
+# H6 with 8 components, as preference models are trained with.
+@R.add("h6_prob_matrix_8", sql("vec", f"SELECT a.prompt_id, a.idx AS i, b.idx AS j, round({sig('(' + skew_sql('a.v', 'b.v', blocks='4') + ' / 0.1)')}, 6) AS x FROM vec a JOIN vec b ON a.prompt_id = b.prompt_id AND a.idx <> b.idx"))
+def h6_8(s, d):
+    p = S.candidate_pairs(V.vectors(s, d).withColumn("v", F.slice("v", 1, 8)))
+    return p.select("prompt_id", "i", "j", r6(S.sigmoid(F.col("s") / 0.1)).alias("x"))
+
+
+# A raw score table T that is not skew: s plus the row's reward.
+T = "tb AS (SELECT prompt_id, i, j, s + ri AS t FROM vp), tt AS (SELECT a.prompt_id, a.i, a.j, a.t AS tij, b.t AS tji FROM tb a JOIN tb b ON a.prompt_id = b.prompt_id AND a.i = b.j AND a.j = b.i)"
 
 
 def tt(s, d):
-    """T(i, j) and T(j, i) side by side: the transposed score is -s8 plus the other reward, so no self-join."""
-    return vp(s, d).select("prompt_id", "i", "j", (F.col("s8") + F.col("ri")).alias("tij"), (-F.col("s8") + F.col("rj")).alias("tji"))
+    """T(i, j) and T(j, i) side by side: the transposed score is -s plus the other reward, so no self-join."""
+    return vp(s, d).select("prompt_id", "i", "j", (F.col("s") + F.col("ri")).alias("tij"), (-F.col("s") + F.col("rj")).alias("tji"))
 
 
 def w(base, extra, body):
@@ -99,29 +107,40 @@ def h14(s, d):
     return g.where("b.i <> w.i").select("prompt_id", F.col("b.i").alias("best"), F.col("w.i").alias("worst"), r6(F.try_element_at("b.ps", F.col("w.i"))).alias("prob"), r6("b.win").alias("win_best"), r6("w.win").alias("win_worst"))
 
 
-@R.add("h15_accuracy", sql("vp", "SELECT round(avg(CASE WHEN s8 > 0 THEN 1.0 ELSE 0.0 END), 6) AS skew_accuracy, round(avg(CASE WHEN ri > rj THEN 1.0 ELSE 0.0 END), 6) AS reward_accuracy FROM vp WHERE i < j"))
+@R.add("h15_accuracy", sql("vp", "SELECT round(avg(CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END), 6) AS skew_accuracy, round(avg(CASE WHEN ri > rj THEN 1.0 ELSE 0.0 END), 6) AS reward_accuracy FROM vp WHERE i < j"))
 def h15(s, d):
-    return vp(s, d).where("i < j").agg(r6(F.avg((F.col("s8") > 0).cast("double"))).alias("skew_accuracy"), r6(F.avg((F.col("ri") > F.col("rj")).cast("double"))).alias("reward_accuracy"))
+    return vp(s, d).where("i < j").agg(r6(F.avg((F.col("s") > 0).cast("double"))).alias("skew_accuracy"), r6(F.avg((F.col("ri") > F.col("rj")).cast("double"))).alias("reward_accuracy"))
 
 
-@R.add("h16_batch_summary", sql("vp", f"SELECT round(avg({sig('s8')}), 6) AS mean_prob, round(avg(CASE WHEN {sig('s8')} > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS share_prob, round(avg(CASE WHEN s8 > 0 THEN 1.0 ELSE 0.0 END), 6) AS share_result FROM vp WHERE i < j"))
+@R.add("h16_batch_summary", sql("vp", f"SELECT round(avg({sig('s')}), 6) AS mean_prob, round(avg(CASE WHEN {sig('s')} > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS share_prob, round(avg(CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END), 6) AS share_result FROM vp WHERE i < j"))
 def h16(s, d):
-    p = S.sigmoid("s8")
-    return vp(s, d).where("i < j").agg(r6(F.avg(p)).alias("mean_prob"), r6(F.avg((p > 0.5).cast("double"))).alias("share_prob"), r6(F.avg((F.col("s8") > 0).cast("double"))).alias("share_result"))
+    p = S.sigmoid("s")
+    return vp(s, d).where("i < j").agg(r6(F.avg(p)).alias("mean_prob"), r6(F.avg((p > 0.5).cast("double"))).alias("share_prob"), r6(F.avg((F.col("s") > 0).cast("double"))).alias("share_result"))
+
+
+# Sections of subsets; a section's accuracy is weighted by the counts of its subsets.
+SECTIONS = {"helpfulness": "quality", "instruction_following": "quality", "honesty": "trust", "truthfulness": "trust"}
+SUBSET = "ss AS (SELECT dimension AS name, count(*) AS n, avg(CASE WHEN score_chosen > score_rejected THEN 1.0 ELSE 0.0 END) AS accuracy FROM pref WHERE score_chosen >= 0 AND score_rejected >= 0 GROUP BY 1), se AS (SELECT " + "CASE name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SECTIONS.items()) + " END AS name, sum(n) AS n, sum(accuracy * n) / sum(n) AS accuracy FROM ss WHERE name IN (" + ", ".join(f"'{k}'" for k in SECTIONS) + ") GROUP BY 1)"
 
 
-@R.add("h17_subset_accuracy", sql("pref", "SELECT dimension AS subset, count(*) AS n, round(avg(CASE WHEN score_chosen > score_rejected THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pref WHERE score_chosen >= 0 AND score_rejected >= 0 GROUP BY 1"))
+@R.add("h17_subset_accuracy", w("pref", SUBSET, "SELECT 'subset' AS kind, name, n, round(accuracy, 6) AS accuracy FROM ss UNION ALL SELECT 'section', name, n, round(accuracy, 6) FROM se UNION ALL SELECT 'average', 'all', sum(n), round(avg(accuracy), 6) FROM se"))
 def h17(s, d):
+    """Subsets, sections weighted by example counts, and the plain mean of the sections."""
     p = V.preferences(s, d).where("score_chosen >= 0 and score_rejected >= 0")
-    return p.groupBy(F.col("dimension").alias("subset")).agg(F.count("*").alias("n"), r6(F.avg((F.col("score_chosen") > F.col("score_rejected")).cast("double"))).alias("accuracy"))
+    ss = p.groupBy(F.col("dimension").alias("name")).agg(F.count("*").alias("n"), F.avg((F.col("score_chosen") > F.col("score_rejected")).cast("double")).alias("accuracy"))
+    section = F.element_at(F.create_map(*(F.lit(x) for kv in SECTIONS.items() for x in kv)), F.col("name"))
+    se = ss.where(F.col("name").isin(*SECTIONS)).groupBy(section.alias("name")).agg(F.sum("n").alias("n"), (F.sum(F.col("accuracy") * F.col("n")) / F.sum("n")).alias("accuracy"))
+    out = lambda df, k: df.select(F.lit(k).alias("kind"), "name", "n", r6("accuracy").alias("accuracy"))
+    mean = se.agg(F.lit("all").alias("name"), F.sum("n").alias("n"), F.avg("accuracy").alias("accuracy"))
+    return out(ss, "subset").unionByName(out(se, "section")).unionByName(out(mean, "average"))
 
 
-X, S2, S8, SG = "(ri - rj)", "s2", "s8", "sg"
+X = "(ri - rj)"
 TAU3, TAU4 = max(math.log1p(math.exp(0.7)), 1e-2), max(math.log1p(math.exp(-0.7)), 1e-2)
 LOSSES = {
     "l1_pairwise": ("x", "log", 0.5), "l2_pairwise_regression": ("x", "reg", 0.5), "l3_learnable_tau": ("x", "log", TAU3), "l4_learnable_tau_regression": ("x", "reg", TAU4),
     "l5_skew_2d": ("s2", "log", 0.1), "l6_skew_2d_regression": ("s2", "reg", 0.1), "l7_skew_2d_learnable": ("s2", "log", TAU3), "l8_skew_2d_learnable_regression": ("s2", "reg", TAU3),
-    "l9_skew": ("s8", "log", 0.1), "l10_skew_regression": ("s8", "reg", 0.1), "l11_skew_learnable": ("s8", "log", TAU3), "l12_gated": ("sg", "log", 0.1), "l13_gated_regression": ("sg", "reg", 0.1),
+    "l9_skew": ("s", "log", 0.1), "l10_skew_regression": ("s", "reg", 0.1), "l11_skew_learnable": ("s", "log", TAU3), "l12_gated": ("sg", "log", 0.1), "l13_gated_regression": ("sg", "reg", 0.1),
 }
 
 
@@ -146,11 +165,11 @@ def l2m(s, d):
 
 
 # Token log-probabilities stand-in: -|component| of a vector; the first two tokens are the prompt and masked.
-LP = "lp AS (SELECT prompt_id, idx, [-abs(x) FOR x IN v[3:8]] AS lp FROM vec)"
+LP = "lp AS (SELECT prompt_id, idx, [-abs(x) FOR x IN v[3:]] AS lp FROM vec)"
 
 
 def lp(s, d):
-    return V.vectors(s, d).select("prompt_id", "idx", F.transform(F.slice("v", 3, 6), lambda x: -F.abs(x)).alias("lp"))
+    return V.vectors(s, d).select("prompt_id", "idx", F.transform(F.slice("v", F.lit(3), F.size("v") - 2), lambda x: -F.abs(x)).alias("lp"))
 
 
 _sum = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
@@ -182,10 +201,10 @@ def l19(s, d):
     return lp(s, d).where("idx = 0").select("prompt_id", r6(0.9 * (-t) + 0.1 * (-t / F.size("lp"))).alias("mixed"), r6(0.1 * ema).alias("ema"))
 
 
-@R.add("z2_unit_skew", sql("vec", "SELECT a.prompt_id, a.idx AS i, b.idx AS j, round((" + " + ".join(f"(a.v[{2 * k + 1}] * b.v[{2 * k + 2}] - a.v[{2 * k + 2}] * b.v[{2 * k + 1}])" for k in range(4)) + ") / (sqrt(list_sum([x * x FOR x IN a.v])) * sqrt(list_sum([x * x FOR x IN b.v]))), 6) AS x FROM vec a JOIN vec b ON a.prompt_id = b.prompt_id AND a.idx <> b.idx"))
+@R.add("z2_unit_skew", sql("vec", f"SELECT a.prompt_id, a.idx AS i, b.idx AS j, round({skew_sql('a.v', 'b.v')} / (sqrt(list_sum([x * x FOR x IN a.v])) * sqrt(list_sum([x * x FOR x IN b.v]))), 6) AS x FROM vec a JOIN vec b ON a.prompt_id = b.prompt_id AND a.idx <> b.idx"))
 def z2(s, d):
     p = S.candidate_pairs(V.vectors(s, d).withColumn("v", S.unit(F.col("v"))))
-    return p.select("prompt_id", "i", "j", r6("s8").alias("x"))
+    return p.select("prompt_id", "i", "j", r6("s").alias("x"))
 
 
 @R.add("z4_sparse_encode", sql("vec", "SELECT prompt_id, idx, list_aggregate([CASE WHEN 2.0 * x / n - 0.1 > 0.2 THEN 1 ELSE 0 END FOR x IN v], 'sum') AS active FROM (SELECT *, sqrt(list_sum([x * x FOR x IN v])) AS n FROM vec)"))

@@ -151,17 +151,19 @@ def j11(s, d):
     return social.scores(p_of(s, d)).select("prompt_id", "i", r6(w).alias("win_rate"), r6(F.col("effective") - w).alias("shift"))
 
 
-@R.add(*q("j12_winner_agreement", WN + ", av AS (SELECT prompt_id, i FROM (SELECT prompt_id, idx AS i, row_number() OVER (PARTITION BY prompt_id ORDER BY avg DESC, idx) AS r FROM rated) WHERE r = 1), m AS (SELECT prompt_id, 'borda' AS method, borda_winner AS w FROM wn UNION ALL SELECT prompt_id, 'copeland', copeland_winner FROM wn UNION ALL SELECT prompt_id, 'pairwise', pairwise_winner FROM wn UNION ALL SELECT prompt_id, 'average', i FROM av)", "SELECT a.method AS method_a, b.method AS method_b, round(avg(CASE WHEN a.w = b.w THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM m a JOIN m b USING (prompt_id) GROUP BY 1, 2"))
+#: The five rankings that a prompt's responses have: by annotations (Borda, Copeland, Bradley-Terry) and by either model.
+METHODS = ("borda_emp", "copeland_emp", "borda_bt", "borda_rm", "borda_pm")
+J12 = "fv AS (SELECT prompt, " + ", ".join(f"arg_max(feature_id, (coalesce({m}, -1e300), -feature_id)) AS {m}" for m in METHODS) + " FROM feat WHERE prompt IS NOT NULL GROUP BY 1)"
+
+
+@R.add(*q("j12_winner_agreement", J12, " UNION ALL ".join(f"SELECT '{x}' AS method_a, '{y}' AS method_b, round(avg(CASE WHEN {x} = {y} THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM fv" for x in METHODS for y in METHODS), "feat"))
 def j12(s, d):
-    """Share of prompts on which two methods name one winner; the winners of a prompt sit in one row, so no self-join."""
-    e = V.rated_entries(s, d)
-    w = social.winners(matrix.majority(e))
-    best = F.element_at(F.array_sort(F.transform("rs", lambda r: F.struct((-r["avg"]).alias("a"), r["idx"].alias("i")))), 1)["i"]
-    av = e.select("prompt_id", best.alias("average_winner"))
-    names = {"borda": "borda_winner", "copeland": "copeland_winner", "pairwise": "pairwise_winner", "average": "average_winner"}
-    j = w.join(av, "prompt_id")
-    cells = F.explode(F.array(*(F.struct(F.lit(a).alias("method_a"), F.lit(b).alias("method_b"), (F.col(x) == F.col(y)).cast("double").alias("eq")) for a, x in names.items() for b, y in names.items())))
-    return j.select(cells.alias("c")).groupBy("c.method_a", "c.method_b").agg(r6(F.avg("c.eq")).alias("agreement"))
+    """Share of prompts on which two of five methods name one winner; the winners of a prompt sit in one row, so no self-join."""
+    f = V.features(s, d).where("prompt is not null")
+    w = f.groupBy("prompt").agg(*(F.max_by("feature_id", F.struct(F.coalesce(m, F.lit(-1e300)), -F.col("feature_id"))).alias(m) for m in METHODS))
+    one = w.agg(*(F.avg((F.col(x) == F.col(y)).cast("double")).alias(f"{x}-{y}") for x in METHODS for y in METHODS))
+    cells = F.array(*(F.struct(F.lit(x).alias("method_a"), F.lit(y).alias("method_b"), r6(f"`{x}-{y}`").alias("agreement")) for x in METHODS for y in METHODS))
+    return one.select(F.explode(cells).alias("c")).select("c.*")
 
 
 FW = "win AS (SELECT prompt, max(CASE WHEN e = 1 THEN feature_id END) AS we, max(CASE WHEN r = 1 THEN feature_id END) AS wr, max(CASE WHEN p = 1 THEN feature_id END) AS wp FROM (SELECT prompt, feature_id, row_number() OVER (PARTITION BY prompt ORDER BY borda_emp DESC NULLS LAST, feature_id) AS e, row_number() OVER (PARTITION BY prompt ORDER BY rm_reward DESC NULLS LAST, feature_id) AS r, row_number() OVER (PARTITION BY prompt ORDER BY borda_pm DESC NULLS LAST, feature_id) AS p FROM feat WHERE prompt IS NOT NULL) GROUP BY 1)"
@@ -179,7 +181,8 @@ def j13(s, d):
     return _winners(s, d).agg(F.count("*").alias("prompts"), c("wr <> we", "rm_wrong"), c("wp <> we", "pm_wrong"), c("wr <> we and wp <> we", "both_wrong"), c("wr <> we and wp = we", "only_rm"), c("wr = we and wp <> we", "only_pm"))
 
 
-PAT = "CASE WHEN wr = we AND wp = we THEN 'all_agree' WHEN wr = we THEN 'pm_differs' WHEN wp = we THEN 'rm_differs' WHEN wr = wp THEN 'models_agree' ELSE 'all_differ' END"
+# Names of the patterns between annotations (we), scalar (wr) and pairwise model (wp).
+PAT = "CASE WHEN wr = we AND wr = wp THEN 'all_agree' WHEN wr = wp THEN 'bt_pm_agree_borda_diff' WHEN wr = we THEN 'bt_borda_agree_pm_diff' WHEN we = wp THEN 'borda_pm_agree_bt_diff' ELSE 'all_disagree' END"
 
 
 @R.add(*q("j14_pattern_classes", FW, f"SELECT {PAT} AS pattern, count(*) AS n FROM win GROUP BY 1", "feat"))

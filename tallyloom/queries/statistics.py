@@ -19,6 +19,10 @@ def w(base, extra, body):
     return sql(base, "SELECT 1").replace(" SELECT 1", (", " + extra if extra else "") + " " + body)
 
 
+TAIL = lambda z: f"(CASE WHEN {z} >= 0 THEN 0 ELSE 1 END + sign({z} + 1e-300) * exp(-{z} * {z} / 2) / 2.5066282746310002 * " + T5.replace("T", f"(1 / (1 + 0.2316419 * abs({z})))") + ")"
+T5 = "T * (0.31938153 + T * (-0.356563782 + T * (1.781477937 + T * (-1.821255978 + T * 1.330274429))))"
+
+
 def feat(s, d):
     return V.features(s, d)
 
@@ -26,9 +30,14 @@ def feat(s, d):
 def spear(name, x, y):
     q = f"rr AS (SELECT rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0 AS a, rank() OVER (ORDER BY {y}) + (count(*) OVER (PARTITION BY {y}) - 1) / 2.0 AS b FROM feat WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"
 
-    @R.add(name, w("feat", q, "SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM rr"))
+    z = "abs(sign(rho) * (8 * (n - 2) + 1) / (8 * (n - 2) + 3) * sqrt((n - 2) * ln(1 + rho * rho / (1 - rho * rho))))"
+
+    @R.add(name, w("feat", q + ", rh AS (SELECT corr(a, b) AS rho, CAST(count(*) AS DOUBLE) AS n FROM rr), rz AS (SELECT *, " + z + " AS z FROM rh)", f"SELECT round(rho, 6) AS rho, CAST(n AS BIGINT) AS n, round(2 * {TAIL('z')}, 6) AS p FROM rz"))
     def run(s, d):
-        return ST.spearman(feat(s, d), x, y).select(r6("rho").alias("rho"), "n")
+        """With the two-sided p-value of rho's t statistic."""
+        c = ST.spearman(feat(s, d), x, y)
+        p = 2 * ST.normal_tail(F.abs(ST.t_as_normal(F.col("rho"), F.col("n"))))
+        return c.select(r6("rho").alias("rho"), "n", r6(p).alias("p"))
 
 
 spear("t1_spearman_length_inflation", "length", "inflation_rm")
@@ -51,12 +60,32 @@ def t3(s, d):
     return ST.kendall_tau_b(f, "prompt", "borda_emp", "borda_pm").withColumn("tau", r6("tau"))
 
 
-MW = "mw AS (SELECT is_condorcet_winner AS g, rank() OVER (ORDER BY length) + (count(*) OVER (PARTITION BY length) - 1) / 2.0 AS r FROM feat WHERE length IS NOT NULL AND is_condorcet_winner IS NOT NULL), mu AS (SELECT count_if(g) AS n1, count_if(NOT g) AS n2, sum(CASE WHEN g THEN r END) - count_if(g) * (count_if(g) + 1) / 2.0 AS u FROM mw)"
+#: Rankings of a prompt's responses that are held against each other.
+METHODS = ("borda_emp", "copeland_emp", "borda_bt", "borda_rm", "borda_pm")
+T3S = "fk AS (SELECT prompt, feature_id, " + ", ".join(METHODS) + " FROM feat WHERE prompt IS NOT NULL AND " + " AND ".join(f"{m} IS NOT NULL" for m in METHODS) + "), kt AS (" + " UNION ALL ".join(f"SELECT '{x}' AS method_a, '{y}' AS method_b, a.prompt, sum(sign(a.{x} - b.{x}) * sign(a.{y} - b.{y})) AS s, sum(abs(sign(a.{x} - b.{x}))) AS na, sum(abs(sign(a.{y} - b.{y}))) AS nb FROM fk a JOIN fk b ON a.prompt = b.prompt AND a.feature_id < b.feature_id GROUP BY 3" for x in METHODS for y in METHODS) + ")"
+
+
+@R.add("t3_kendall_matrix", w("feat", T3S, "SELECT method_a, method_b, round(avg(CASE WHEN na = 0 OR nb = 0 THEN 0.0 ELSE s / sqrt(na * nb) END), 6) AS tau FROM kt GROUP BY 1, 2"))
+def t3m(s, d):
+    """Mean over prompts of tau-b between each two of five rankings; pairs are made once from the prompt's array for all 25."""
+    f = feat(s, d).where("prompt is not null and " + " and ".join(f"{m} is not null" for m in METHODS))
+    g = f.groupBy("prompt").agg(F.array_sort(F.collect_list(F.struct("feature_id", *(F.col(m).cast("double").alias(m) for m in METHODS)))).alias("v")).where(F.size("v") >= 2)
+    idx = F.sequence(F.lit(0), F.size("v") - 1)
+    p = g.select("prompt", "v", F.explode(idx).alias("i")).select("prompt", "v", "i", F.explode(idx).alias("j")).where("i < j")
+    p = p.select("prompt", *(F.signum(F.expr(f"v[i].{m} - v[j].{m}")).alias(m) for m in METHODS))
+    t = p.groupBy("prompt").agg(*(F.sum(F.col(x) * F.col(y)).alias(f"{x}-{y}") for x in METHODS for y in METHODS))
+    n = lambda m: F.col(f"`{m}-{m}`")
+    one = t.agg(*(F.avg(F.when((n(x) == 0) | (n(y) == 0), 0.0).otherwise(F.col(f"`{x}-{y}`") / F.sqrt(n(x) * n(y)))).alias(f"{x}-{y}") for x in METHODS for y in METHODS))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(x).alias("method_a"), F.lit(y).alias("method_b"), r6(f"`{x}-{y}`").alias("tau")) for x in METHODS for y in METHODS))).alias("c")).select("c.*")
+
+
+MW = "mw AS (SELECT is_condorcet_winner AS g, rank() OVER (ORDER BY length) + (count(*) OVER (PARTITION BY length) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY length) AS t FROM feat WHERE length IS NOT NULL AND is_condorcet_winner IS NOT NULL), mu AS (SELECT CAST(count_if(g) AS DOUBLE) AS n1, CAST(count_if(NOT g) AS DOUBLE) AS n2, sum(CASE WHEN g THEN r END) - count_if(g) * (count_if(g) + 1) / 2.0 AS u, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM mw), mz AS (SELECT *, (u - n1 * n2 / 2 - 0.5) / sd AS z, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd AS z2 FROM (SELECT *, sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS sd FROM mu))"
 
 
-@R.add("t4_t5_mann_whitney", w("feat", MW, "SELECT n1, n2, round(u, 4) AS u, round(1 - 2 * u / (n1 * n2), 6) AS rank_biserial FROM mu"))
+@R.add("t4_t5_mann_whitney", w("feat", MW, f"SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(u, 4) AS u, round(1 - 2 * u / (n1 * n2), 6) AS rank_biserial, round(least(1.0, 2 * {TAIL('z2')}), 6) AS p_two_sided, round({TAIL('z')}, 6) AS p_greater FROM mz"))
 def t4(s, d):
-    return ST.mann_whitney(feat(s, d), "length", "is_condorcet_winner").select("n1", "n2", F.round("u", 4).alias("u"), r6("rank_biserial").alias("rank_biserial"))
+    m = ST.mann_whitney(feat(s, d), "length", "is_condorcet_winner")
+    return m.select("n1", "n2", F.round("u", 4).alias("u"), *(r6(c).alias(c) for c in ("rank_biserial", "p_two_sided", "p_greater")))
 
 
 @R.add("t6_cohens_d", sql("feat", "SELECT round((avg(length) FILTER (is_condorcet_winner) - avg(length) FILTER (NOT is_condorcet_winner)) / sqrt((var_pop(length) FILTER (is_condorcet_winner) + var_pop(length) FILTER (NOT is_condorcet_winner)) / 2), 6) AS d FROM feat"))
@@ -67,9 +96,10 @@ def t6(s, d):
 KW = "kw AS (SELECT strategy_id AS g, rank() OVER (ORDER BY inflation_rm) + (count(*) OVER (PARTITION BY inflation_rm) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY inflation_rm) AS t FROM feat WHERE strategy_id IS NOT NULL AND inflation_rm IS NOT NULL), kg AS (SELECT g, sum(r) AS s, count(*) AS n, sum(t * t - 1) AS t FROM kw GROUP BY 1), kk AS (SELECT sum(s * s / n) AS q, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(t) AS DOUBLE) AS t FROM kg)"
 
 
-@R.add("t7_kruskal", w("feat", KW, "SELECT CAST(n AS BIGINT) AS n, round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)), 5) AS h FROM kk"))
+@R.add("t7_kruskal", w("feat", KW, "SELECT CAST(n AS BIGINT) AS n, round(h, 5) AS h, round(exp(-h / 2) * (1 + h / 2 + h / 2 * h / 2 / 2), 6) AS p FROM (SELECT n, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)) AS h FROM kk)"))
 def t7(s, d):
-    return ST.kruskal(feat(s, d), "inflation_rm", "strategy_id").select("n", F.round("h", 5).alias("h"))
+    """Seven groups: six degrees of freedom."""
+    return ST.kruskal(feat(s, d), "inflation_rm", "strategy_id").select("n", F.round("h", 5).alias("h"), r6(ST.chi2_tail_even(F.col("h"), 6)).alias("p"))
 
 
 CH = "ch AS (SELECT strategy_id AS a, is_condorcet_winner AS b, count(*) AS o FROM feat WHERE strategy_id IS NOT NULL AND is_condorcet_winner IS NOT NULL GROUP BY 1, 2), c2 AS (SELECT *, sum(o) OVER (PARTITION BY a) AS ra, sum(o) OVER (PARTITION BY b) AS cb FROM ch)"
@@ -125,16 +155,25 @@ def t12(s, d):
     return f.select(F.explode(F.array(*FEATS)).alias("x")).select("x.*")
 
 
-@R.add("t13_class_distribution", sql("feat", "SELECT coalesce(split, 'all') AS split, strategy_id, count(*) AS n FROM feat WHERE strategy_id IS NOT NULL AND split IS NOT NULL GROUP BY GROUPING SETS ((split, strategy_id), (strategy_id))"))
+T13 = "cl AS (SELECT unnest(range(1, 8)) AS strategy_id), lf AS (SELECT split, strategy_id FROM feat WHERE strategy_id IS NOT NULL AND split IS NOT NULL), sp AS (SELECT DISTINCT split FROM lf UNION ALL SELECT 'all'), ct AS (SELECT coalesce(split, 'all') AS split, strategy_id, count(*) AS n FROM lf GROUP BY GROUPING SETS ((split, strategy_id), (strategy_id)))"
+
+
+@R.add("t13_class_distribution", w("feat", T13, "SELECT split, strategy_id, coalesce(n, 0) AS n, round(coalesce(n, 0) / sum(n) OVER (PARTITION BY split), 6) AS fraction FROM sp CROSS JOIN cl LEFT JOIN ct USING (split, strategy_id)"))
 def t13(s, d):
-    f = feat(s, d).where("strategy_id is not null and split is not null")
-    return f.groupingSets([[F.col("split"), F.col("strategy_id")], [F.col("strategy_id")]], "split", "strategy_id").agg(F.count("*").alias("n")).select(F.coalesce("split", F.lit("all")).alias("split"), "strategy_id", "n")
+    """Counts and fractions of all seven classes, those that never occur with 0, for each split and overall."""
+    f = feat(s, d).where("strategy_id is not null and split is not null").groupBy("split", "strategy_id").agg(F.count("*").alias("n"))
+    f = f.unionByName(f.groupBy("strategy_id").agg(F.sum("n").alias("n")).select(F.lit("all").alias("split"), "strategy_id", "n"))
+    g = f.groupBy("split").agg(F.map_from_entries(F.collect_list(F.struct("strategy_id", "n"))).alias("ns"), F.sum("n").alias("t"))  # seven entries
+    g = g.select("split", "ns", "t", F.explode(F.array(*map(F.lit, range(1, 8)))).alias("strategy_id")).withColumn("n", F.coalesce(F.try_element_at("ns", F.col("strategy_id")), F.lit(0)))
+    return g.select("split", "strategy_id", "n", r6(F.col("n") / F.col("t")).alias("fraction"))
 
 
-@R.add("t14_inflation_by_class", sql("feat", "SELECT strategy_id, count(*) AS n, round(avg(inflation_rm), 6) AS mean, round(median(inflation_rm), 6) AS median, round(stddev_pop(inflation_rm), 6) AS std FROM feat WHERE strategy_id IS NOT NULL AND inflation_rm IS NOT NULL GROUP BY 1"))
+@R.add("t14_inflation_by_class", sql("feat", "SELECT strategy_id, count(*) AS n, CAST(sum(CAST(inflation_rm AS DECIMAL(28, 12))) AS DOUBLE) / count(*) AS mean, median(inflation_rm) AS median, round(stddev_pop(inflation_rm), 6) AS std FROM feat WHERE strategy_id IS NOT NULL AND inflation_rm IS NOT NULL GROUP BY 1"))
 def t14(s, d):
+    """Sums as decimals, so that no order of addition changes a digit."""
     f = feat(s, d).where("strategy_id is not null and inflation_rm is not null")
-    return f.groupBy("strategy_id").agg(F.count("*").alias("n"), r6(F.avg("inflation_rm")).alias("mean"), r6(F.median("inflation_rm")).alias("median"), r6(F.stddev_pop("inflation_rm")).alias("std"))
+    total = F.sum(F.col("inflation_rm").cast("decimal(28,12)")).cast("double")
+    return f.groupBy("strategy_id").agg(F.count("*").alias("n"), (total / F.count("*")).alias("mean"), F.median("inflation_rm").alias("median"), r6(F.stddev_pop("inflation_rm")).alias("std"))
 
 
 @R.add("t15_winner_composition", sql("feat", "SELECT strategy_id, is_condorcet_winner AS winner, count(*) AS n FROM feat WHERE strategy_id IS NOT NULL GROUP BY 1, 2"))
@@ -184,6 +223,19 @@ def t19(s, d):
     return feat(s, d).where("inflation_rm is not null").agg(*(r6(F.avg((x > t).cast("double"))).alias(n) for t, n in ((0.1, "over_01"), (0.5, "over_05"), (1, "over_1"))), r6(F.avg(F.when(F.col("has_cycle"), x))).alias("with_cycle"))
 
 
+T19 = "pm AS (SELECT prompt, avg(abs(inflation_rm)) AS x, avg(abs(inflation_pm)) AS y, bool_or(has_cycle) AS c FROM feat WHERE prompt IS NOT NULL AND inflation_rm IS NOT NULL AND inflation_pm IS NOT NULL GROUP BY 1), rr AS (SELECT c, x, rank() OVER (ORDER BY round(x, 9)) + (count(*) OVER (PARTITION BY round(x, 9)) - 1) / 2.0 AS a, rank() OVER (ORDER BY round(y, 9)) + (count(*) OVER (PARTITION BY round(y, 9)) - 1) / 2.0 AS b FROM pm)"
+
+
+@R.add("t19_prompt_means", w("feat", T19, "SELECT count(*) AS prompts, round(corr(a, b), 6) AS rho, round(avg(x) FILTER (c), 6) AS with_cycle, count_if(c) AS n_with, round(avg(x) FILTER (NOT c), 6) AS without_cycle, count_if(NOT c) AS n_without FROM rr"))
+def t19m(s, d):
+    """Rank correlation between the per-prompt means of both models, and the scalar's mean with and without a cycle."""
+    f = feat(s, d).where("prompt is not null and inflation_rm is not null and inflation_pm is not null")
+    m = f.groupBy("prompt").agg(F.avg(F.abs("inflation_rm")).alias("x"), F.avg(F.abs("inflation_pm")).alias("y"), F.bool_or("has_cycle").alias("c"))
+    m = m.withColumns({"rx": F.round("x", 9), "ry": F.round("y", 9)})
+    q = ST.ranked(ST.ranked(m, "rx", "a"), "ry", "b")
+    return q.agg(F.count("*").alias("prompts"), r6(F.corr("a", "b")).alias("rho"), r6(F.avg(F.when(F.col("c"), F.col("x")))).alias("with_cycle"), F.count_if(F.col("c")).alias("n_with"), r6(F.avg(F.when(~F.col("c"), F.col("x")))).alias("without_cycle"), F.count_if(~F.col("c")).alias("n_without"))
+
+
 @R.add("t20_group_extremes", sql("feat", "SELECT round(avg(hi), 6) AS mean_max, round(avg(lo), 6) AS mean_min FROM (SELECT prompt, max(rm_reward) AS hi, min(rm_reward) AS lo FROM feat WHERE prompt IS NOT NULL GROUP BY 1)"))
 def t20(s, d):
     g = feat(s, d).where("prompt is not null").groupBy("prompt").agg(F.max("rm_reward").alias("hi"), F.min("rm_reward").alias("lo"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import scoring as S
@@ -19,7 +20,7 @@ Q = {
     "char_count": "length(text)",
     "sentence_count": "greatest(1, len([x FOR x IN string_split_regex(text, '[.!?](?:\\s|$)') IF regexp_replace(x, '\\s', '', 'g') <> '']))",
     "n_bold": "len(regexp_extract_all(text, '\\*\\*[^*]+\\*\\*'))",
-    "n_bullets": LINES.format(r"^\s*[-*•]\s"), "n_numbered": LINES.format(r"^\s*[0-9]+[.)]\s"), "n_headers": LINES.format(r"^#{1,6}\s"), "n_tables": LINES.format(r"^\|.*\|"),
+    "n_bullets": LINES.format(r"^\s*[-*]\s"), "n_numbered": LINES.format(r"^\s*\d+\.\s"), "n_headers": LINES.format(r"^#{1,6}\s"), "n_tables": LINES.format(r"^\s*\|.+\|.+\|"),
     "n_code_blocks": "len(regexp_extract_all(text, '```')) // 2",
     "n_emojis": "len(regexp_extract_all(text, '[\\p{So}\\x{1F600}-\\x{1FAFF}]'))",
 }
@@ -56,10 +57,14 @@ def x10(s, d):
     return V.features(s, d).where("response_text is not null").select("feature_id", F.col("word_count").alias("stored"), X.word_count(F.col("response_text")).alias("counted"))
 
 
-@R.add("x11_scalar_functions", sql("feat", "SELECT feature_id, round(ln(greatest(0.01, least(0.99, borda_emp / 3)) / (1 - greatest(0.01, least(0.99, borda_emp / 3)))), 6) AS safe_logit, round(CASE WHEN rm_reward >= 0 THEN 1 / (1 + exp(-rm_reward)) ELSE exp(rm_reward) / (1 + exp(rm_reward)) END, 6) AS sigmoid FROM feat WHERE borda_emp IS NOT NULL AND rm_reward IS NOT NULL"))
+@R.add("x11_scalar_functions", sql("feat", "SELECT feature_id, round(ln(greatest(0.01, least(0.99, borda_emp / 3)) / (1 - greatest(0.01, least(0.99, borda_emp / 3)))), 6) AS safe_logit, round(CASE WHEN rm_reward >= 0 THEN 1 / (1 + exp(-rm_reward)) ELSE exp(rm_reward) / (1 + exp(rm_reward)) END, 6) AS sigmoid, round(greatest(0.05, least(0.95, borda_emp / 3)), 6) AS clipped, round(exp(rm_reward - max(rm_reward) OVER w) / sum(exp(rm_reward - mx)) OVER w, 6) AS softmax FROM (SELECT *, max(rm_reward) OVER (PARTITION BY prompt) AS mx FROM feat WHERE borda_emp IS NOT NULL AND rm_reward IS NOT NULL) WINDOW w AS (PARTITION BY prompt)"))
 def x11(s, d):
+    """Softmax over a prompt's rewards, shifted by their maximum."""
     f = V.features(s, d).where("borda_emp is not null and rm_reward is not null")
-    return f.select("feature_id", r6(S.logit(F.col("borda_emp") / 3, 0.01)).alias("safe_logit"), r6(S.sigmoid("rm_reward")).alias("sigmoid"))
+    w = Window.partitionBy("prompt")
+    e = F.exp(F.col("rm_reward") - F.max("rm_reward").over(w))
+    x = F.col("borda_emp") / 3
+    return f.withColumn("e", e).select("feature_id", r6(S.logit(x, 0.01)).alias("safe_logit"), r6(S.sigmoid("rm_reward")).alias("sigmoid"), r6(S.clip(x, 0.05)).alias("clipped"), r6(F.col("e") / F.sum("e").over(w)).alias("softmax"))
 
 
 @R.add("x12_prefixes", "SELECT row_id, substr(instruction, 1, 100) AS p100, substr(instruction, 1, 200) AS p200 FROM custom_test_data")

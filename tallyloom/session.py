@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -40,6 +41,7 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     at = Path(tempfile.mkdtemp(prefix="tallyloom-")) / "tallyloom.zip"
+    atexit.register(shutil.rmtree, at.parent, True)
     with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
@@ -57,7 +59,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's spark.checkpoint.dir, or one of our own where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:  # unset, as in tests: one folder for this process, and never on a cluster
+    if not at:  # unset, as in tests: one folder for this process
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if "dir" not in _OWN:
             _OWN["dir"] = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
         at = _OWN["dir"]

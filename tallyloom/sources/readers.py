@@ -60,3 +60,12 @@ def transcripts(df: DataFrame, text: str = "chosen") -> DataFrame:
     m = F.zip_with(roles, parts, lambda r, c: F.struct(r.alias("role"), c.alias("content")))
     d = df.withColumn("messages", m)
     return d.withColumns({"prompt": F.when(F.size("messages") > 0, F.slice("messages", 1, F.greatest(F.lit(0), F.size("messages") - 1))), "response": F.try_element_at("messages", F.lit(-1))["content"], "usable": F.coalesce(F.try_element_at("messages", F.lit(-1))["role"] == "assistant", F.lit(False))})
+
+
+def embeddings(spark: SparkSession, spec: str, column: str = "embedding") -> tuple[DataFrame, int]:
+    """A table of embeddings and their dimension, taken from its first row and required of all others."""
+    df = read_any(spark, spec)
+    first = df.where(F.col(column).isNotNull()).select(F.size(column)).first()
+    d = first[0] if first else 0
+    fits = F.when(F.size(column) == d, F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"dimension is not {d} but "), F.size(column).cast("string"))))
+    return df.where(F.col(column).isNotNull()).withColumn(column, fits), d

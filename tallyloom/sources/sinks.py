@@ -27,3 +27,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_parquet(df: DataFrame, path: str) -> None:
     """K4, K6."""
     df.write.mode("overwrite").parquet(path)
+
+
+def write_report(df: DataFrame, path: str, title: str) -> None:
+    """K9: a text report of a small result (an aggregate of at most a few thousand rows): a title, then ``name: value`` lines."""
+    lines = F.concat_ws("\n", *(F.concat(F.lit(f"{c}: "), F.coalesce((F.to_json(c) if t.startswith(("array", "struct", "map")) else F.col(c).cast("string")), F.lit("-"))) for c, t in df.dtypes), F.lit(""))
+    head = df.sparkSession.createDataFrame([(f"{title}\n{'=' * len(title)}\n",)], "value string")
+    head.unionByName(df.select(lines.alias("value"))).coalesce(1).write.mode("overwrite").text(path)

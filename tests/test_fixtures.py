@@ -56,7 +56,8 @@ def test_u3_chain(spark):
     assert [s[i]["borda"] for i in range(3)] == [2, 1, 0] and s[0]["is_condorcet"]
     r = C.loop_ratio(edges(spark, p)).first()
     assert (r["gradient"], r["total"], r["loop_ratio"]) == pytest.approx((4 / 3, 3 / 2, 1 / 9))
-    assert K.feedback_arcs(np.triu(np.ones((3, 3)), 1)) == 0
+    b = matrix.both_ways(matrix.win_counts(outcomes(spark, ["AB", "BC", "AC"])))
+    assert C.feedback_share(b).first()["corrected"] == 0
 
 
 def test_u4_ties(spark):
@@ -158,3 +159,94 @@ def test_greedy_matching():
 def test_first_delivery(spark):
     d = spark.createDataFrame([(1, "late", "2024-01-02"), (1, "first", "2024-01-01"), (2, "x", None)], "id int, v string, at string").withColumn("at", F.to_timestamp("at"))
     assert {(r["id"], r["v"]) for r in V.first_delivery(d, "id", "at").collect()} == {(1, "first"), (2, "x")}
+
+
+def test_x6_tells_marks_apart(spark):
+    """Bullets are - and *, numbers end in a full stop, tables have three bars and may be indented."""
+    t = F.col("t")
+    text = "\n".join(["- a b", "  * c d", "• no", "+ no", "1. one", "  22. two", "3) no", "| a | b |", "   | c | d |", "| no |", "# H", "####### no", " # no"])
+    r = spark.createDataFrame([(text,)], "t string").select(X.n_bullets(t), X.n_numbered(t), X.n_tables(t), X.n_headers(t)).first()
+    assert r[:] == (2, 2, 2, 1)
+
+
+def test_cycles_of_every_rotation(spark):
+    """A beats B on honesty, B beats C on truthfulness, C beats A on helpfulness: one triple, from whichever member it starts;
+    and seven responses are no reason to leave a prompt out."""
+    from tallyloom.operators import pair_builders as B
+
+    rs = [(0, 1, 3, None, 2, 2.0), (1, 2, 2, None, 3, 2.0), (2, 3, 1, None, 1, 2.0)]  # (idx, h, o, f, t, avg)
+    e = spark.createDataFrame([(1, rs), (2, rs + [(k, 1, 1, 1, 1, 1.0) for k in range(3, 7)])], "prompt_id bigint, rs array<struct<idx int, h int, o int, f int, t int, avg double>>")
+    got = {tuple(r) for r in B.cyclic_triples(e).where("prompt_id = 1").select("a", "b", "c", "cycle_config").collect()}
+    want = {(a, b, c, "Cyclic_1") for a in rs for b in rs for c in rs if len({a[0], b[0], c[0]}) == 3 and a[2] > b[2] and b[4] > c[4] and c[1] > a[1]}
+    assert got == {(a[0], b[0], c[0], n) for a, b, c, n in want} and len(got) == 1
+    assert B.cyclic_triples(e).where("prompt_id = 2").count() > 0
+    assert B.cyclic_pairs(B.cyclic_triples(e).where("prompt_id = 1")).count() == 3
+
+
+@pytest.mark.parametrize("n", [4, 7, 9])
+def test_lottery_has_most_entropy(n):
+    """On a regular cyclic tournament the optimum is uniform; with doubled options the mass is shared between the doubles."""
+    ring = np.full((n, n), 0.5)
+    for i in range(n):
+        for k in range(1, (n - 1) // 2 + 1):
+            ring[i, (i + k) % n], ring[(i + k) % n, i] = 1, 0
+    assert K.maximal_lottery(ring) == pytest.approx([1 / n] * n, abs=1e-6)
+    three = np.array([[0.5, 1, 0], [0, 0.5, 1], [1, 0, 0.5]])
+    at = [0, 0, 1, 2]
+    assert K.maximal_lottery(three[np.ix_(at, at)]) == pytest.approx([1 / 6, 1 / 6, 1 / 3, 1 / 3], abs=1e-5)
+
+
+def test_feedback_share_has_no_limit(spark):
+    b = spark.createDataFrame([("q", f"i{i:03}", f"i{j:03}", 1, 0) for i in range(300) for j in (i + 1, i + 2) if j < 300] + [("r", "a", "b", 2, 1), ("r", "b", "c", 1, 0), ("r", "a", "c", 0, 1)], "prompt string, a string, b string, ab bigint, ba bigint")
+    got = {r["prompt"]: r["corrected"] for r in C.feedback_share(b).collect()}
+    assert got["q"] == 0 and got["r"] == pytest.approx(1 / 3)
+
+
+def test_p_values(spark):
+    """Against tables: the normal tail at 1.96, chi-square with 6 degrees at 12.592."""
+    r = spark.range(1).select(ST.normal_tail(F.lit(1.959964)), ST.normal_tail(F.lit(-1.0)), ST.chi2_tail_even(F.lit(12.5916), 6)).first()
+    assert r[:] == pytest.approx((0.025, 0.841345, 0.05), abs=1e-5)
+
+
+def test_running_positions(spark):
+    from tallyloom.operators import sampling as SA
+
+    d = spark.createDataFrame([(k * k, 1 + k % 3) for k in range(500)], "x bigint, n bigint")
+    got = {r["x"]: r["at"] for r in SA.running(d, "x", "n", "at").collect()}
+    run = 0
+    for k in range(500):
+        assert got[k * k] == run
+        run += 1 + k % 3
+
+
+def test_stream_in_two_batches(spark, tmp_path):
+    """Windows come once they are closed; a row later than the watermark is dropped; what is open stays open."""
+    from tallyloom.streaming import events as E
+
+    def add(name, rows):
+        spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double, t string").withColumn("ts", F.to_timestamp("t")).drop("t").coalesce(1).write.parquet(f"{tmp_path}/in/{name}.parquet")
+
+    add("events1", [(1, 1, "a", 1.0, "2024-01-01 00:10:00"), (2, 1, "b", 2.0, "2024-01-01 00:20:00"), (3, 1, "a", 1.0, "2024-01-03 00:00:00")])
+    first = E.run(E.tumbling(E.stream(spark, f"{tmp_path}/in")), f"file://{tmp_path}/out").collect()
+    assert {(r["event_type"], r["n"]) for r in first} == {("a", 1), ("b", 1)}
+    add("events2", [(4, 1, "a", 9.0, "2024-01-01 00:30:00"), (5, 1, "a", 1.0, "2024-01-03 00:30:00"), (6, 2, "c", 1.0, "2024-01-06 00:00:00")])
+    both = E.run(E.tumbling(E.stream(spark, f"{tmp_path}/in")), f"file://{tmp_path}/out").collect()
+    assert sorted((str(r["start"])[:10], r["event_type"], r["n"]) for r in both) == [("2024-01-01", "a", 1), ("2024-01-01", "b", 1), ("2024-01-03", "a", 2)]
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tallyloom import session
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    with pytest.raises(RuntimeError):
+        session.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf)))
+
+
+def test_report_and_embeddings(spark, tmp_path):
+    sinks.write_report(spark.createDataFrame([(1, [0.5])], "n int, xs array<double>"), f"{tmp_path}/r", "Rates")
+    assert "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part*"))).split() == ["Rates", "=====", "n:", "1", "xs:", "[0.5]"]
+    spark.createDataFrame([([1.0, 2.0],), (None,)], "embedding array<double>").write.parquet(f"{tmp_path}/e.parquet")
+    d, n = readers.embeddings(spark, f"{tmp_path}/e.parquet")
+    assert n == 2 and d.count() == 1
