@@ -51,8 +51,17 @@ _SENTENCES = re.compile(r"(?<=[.!?。])\s+")
 #: Every function word with the languages it belongs to.
 _LANGS = tuple(_OF)
 _WHOSE = {w: tuple(i for i, k in enumerate(_LANGS) if w in _OF[k]) for own in _OF.values() for w in own}
-#: Without one of these strings no refusal pattern can match.
-_HINTS = ("n't", "not ", "cannot", "unable", "no ability", "declin", "beyond", "outside", "guideline", "refuse", "permitted", "nicht", "leid", "nichts", "imposs", "ne p", "ne s", "sol", "lo siento", "no p", "no me", "no es", "niego", "抱歉", "对不起", "无法", "不能", "sorry", "apolog", "unfortun", "regret", "no,")
+#: Without one of its strings a refusal pattern cannot match.
+_HINTS = (
+    (_INABILITY, ("can't", "cant", "cannot", "can not", "could not", "unable to", "able to", "ability to", "in a position to")),
+    (_DECLINE, ("decline", "rather not", "comfortable", "beyond what", "outside what", "permitted", "allowed to", "guidelines", "appropriate for me", "won't", "wont", "not something i", "i refuse", "against my", "language model", "as an ai", "as a ai")),
+    (_OTHER, ("nicht", "tut mir leid", "impossible de", "ne peux", "ne puis", "ne suis", "je refuse", "désolé", "siento", "no puedo", "no me", "no estoy", "niego", "抱歉", "对不起", "无法", "不能")),
+)
+
+
+def _declines(t: str) -> tuple[bool, bool, bool]:
+    """Which refusal patterns a text in lower case holds."""
+    return tuple(any(h in t for h in hints) and bool(p.search(t)) for p, hints in _HINTS)
 
 
 def squash(t: str) -> str:
@@ -181,14 +190,15 @@ def _votes(instruction: str | None, answer: str | None) -> tuple[dict[str, list[
     # refusal: looked for in the whole answer; in a long one only its first two sentences, where an answer declines or
     # begins, tell for it, and what is said further on tells neither way
     long_ = len(words) > 40
-    if any(h in low for h in _HINTS):
-        first = " ".join(_SENTENCES.split(low.strip(), maxsplit=2)[:2]) if long_ else low
+    a, b, c = _declines(low)
+    hit = a or b or c
+    begins = not hit and len(words) < 25 and _OPENING.match(low) and len(re.split(r"[.!?]\s", low)) < 2
+    if hit or begins:
+        if long_:
+            a, b, c = _declines(" ".join(_SENTENCES.split(low.strip(), maxsplit=2)[:2]))
         no = bool(_NOT_REFUSAL.search(low))
-        a, b, c = (bool(p.search(first)) for p in (_INABILITY, _DECLINE, _OTHER))
-        hit = a or b or c or long_ and any(p.search(low) for p in (_INABILITY, _DECLINE, _OTHER))
         vote = lambda own: 1 if own and not no else -1 if no else 0 if hit else -1
-        begins = _OPENING.search(low) and len(words) < 25 and len(re.split(r"[.!?]\s", low)) < 2
-        v["refusal"] = [vote(a), vote(b), vote(c), -1 if long_ or no else 1 if hit or begins else -1]
+        v["refusal"] = [vote(a), vote(b), vote(c), -1 if long_ or no else 1]
     if len(sqi) >= 12 and (alike or brief and (sqi in sq or sq in sqi)):  # nothing else can be a copy
         inside = sqi in sq
         rest = len(sq) - max(1, sq.count(sqi)) * len(sqi)  # beside the instruction, however often it is given back
@@ -200,8 +210,8 @@ def _votes(instruction: str | None, answer: str | None) -> tuple[dict[str, list[
             1 if most >= 0.85 or inside and rest <= 25 else -1,
         ]
     # truncated
-    wide = 0 if low.isascii() else sum("\u3040" <= c <= "\ud7ff" for c in low)  # scripts without gaps: two characters a word
-    if max(len(words), wide // 2) <= 3 and "\n" not in text and "{" not in text and "```" not in text:
+    # Scripts without gaps hold a word in two characters.
+    if len(words) <= 3 and (low.isascii() or sum("\u3040" <= c <= "\ud7ff" for c in low) < 8) and "\n" not in text and "{" not in text and "```" not in text:
         v["truncated"][3] = 0  # a one-word answer
         v["language"] = [0, 0, 0]
         return v, "", []
