@@ -106,10 +106,12 @@ def n8(s, d):
     return sizes(b).select(F.xxhash64("prompt").alias("prompt_id"), "items", (F.col("items") > 200).alias("over_200")).join(out, "prompt_id", "left")
 
 
-@R.add("n9_hodge_probabilities")
+@R.add(*q("n9_hodge_probabilities", LR, "SELECT prompt_id, round(total, 6) AS total, round(gradient, 6) AS gradient, round(total - gradient, 6) AS curl, 0.0::DOUBLE AS harmonic FROM ra WHERE k >= 3"))
 def n9(s, d):
-    """N9, N10 on complete matrices: harmonic part 0."""
-    return K.per_matrix(C.rows_of(p_of(s, d)).where("k >= 3"), lambda m: [K.hodge(m - 0.5, ~np.eye(len(m), dtype=bool))], "prompt_id bigint, total double, gradient double, curl double, harmonic double")
+    """N9, N10 on complete matrices: triangles span every cycle there, so all that is no gradient is curl (the kernel of N8 is
+    held against this in the tests)."""
+    r = C.loop_ratio(p_of(s, d)).where("k >= 3")
+    return r.select("prompt_id", r6("total").alias("total"), r6("gradient").alias("gradient"), r6(F.col("total") - F.col("gradient")).alias("curl"), F.lit(0.0).alias("harmonic"))
 
 
 SZ = BW + ", it AS (SELECT prompt, count(*) AS items FROM (SELECT prompt, a AS x FROM bw UNION SELECT prompt, b FROM bw) GROUP BY 1)"

@@ -341,7 +341,8 @@ def e6(s, d):
 @R.add("e7_binary_grouped", sql("pref", "SELECT prompt, count(*) AS num_comparisons, count(DISTINCT x) AS num_responses FROM (SELECT prompt, pref_id, unnest([chosen, rejected]) AS x FROM pref WHERE prompt IS NOT NULL AND chosen IS NOT NULL AND rejected IS NOT NULL) GROUP BY 1").replace("count(*) AS num_comparisons", "count(DISTINCT pref_id) AS num_comparisons"))
 def e7(s, d):
     p = V.preferences(s, d).where("prompt is not null and chosen is not null and rejected is not null")
-    return p.groupBy("prompt").agg(F.count("*").alias("num_comparisons"), F.size(F.array_distinct(F.flatten(F.collect_list(F.array("chosen", "rejected"))))).alias("num_responses"))
+    x = p.select("prompt", "pref_id", F.explode(F.array("chosen", "rejected")).alias("x"))
+    return x.groupBy("prompt").agg(F.countDistinct("pref_id").alias("num_comparisons"), F.countDistinct("x").alias("num_responses"))
 
 
 # The configurations again, from their definition and not from the operator.

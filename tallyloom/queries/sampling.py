@@ -245,13 +245,16 @@ def f19(s, d):
     return z.select("pref_id", F.when(F.col("pos") < int(some * 0.4), "anti_length").otherwise("relevance").alias("kind"))
 
 
-@R.add("a13_blend")
+A13 = lambda k, t, c, p: f"SELECT {k} AS source, id, (row_number() OVER (ORDER BY {H('id', 61 + k)}, id) - 1 + ({H('id', 67)}) / 4294967296.0::DOUBLE) / {p}::DOUBLE AS place FROM (SELECT DISTINCT {c} AS id FROM {t})"
+
+
+@R.add("a13_blend", f"WITH bl AS ({A13(0, 'preferences', 'pref_id', 0.6)} UNION ALL {A13(1, 'features_labeled', 'feature_id', 0.4)}) SELECT source, id, round(place, 6) AS place FROM bl WHERE place < least((SELECT count(*) FROM preferences) / 0.6::DOUBLE, (SELECT count(*) FROM features_labeled) / 0.4::DOUBLE)")
 def a13(s, d):
     """Blending by probability until the first source is used up; the k-th row of source i sorts at (k + u) / p_i."""
     src = ((table(s, d, "preferences", F.col("pref_id").alias("id")), 0.6), (table(s, d, "features_labeled", F.col("feature_id").alias("id")), 0.4))
     stop = min(x.count() / p for x, p in src)
-    parts = [SA.shuffled_position(x.distinct(), "id", 61 + k).select(F.lit(k).alias("source"), "id", ((F.col("pos") + SA.unit(F.col("id"), 67)) / p).alias("at")) for k, (x, p) in enumerate(src)]
-    return parts[0].unionByName(parts[1]).where(F.col("at") < stop)
+    parts = [SA.shuffled_position(x.distinct(), "id", 61 + k).select(F.lit(k).alias("source"), "id", ((F.col("pos") + SA.unit(F.col("id"), 67)) / p).alias("place")) for k, (x, p) in enumerate(src)]
+    return parts[0].unionByName(parts[1]).where(F.col("place") < stop).withColumn("place", r6("place"))
 
 
 SYSTEM = "Name the strategy of the response as JSON."

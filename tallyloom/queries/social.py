@@ -61,7 +61,8 @@ def i5(s, d):
     """Win rates on the full grid of each prompt with 3 to 200 responses (C2); pairs that never met get 1/2."""
     w = matrix.both_ways(matrix.win_counts(V.outcomes(s, d)))
     items = w.select("prompt", F.explode(F.array("a", "b")).alias("x")).distinct()
-    small = items.groupBy("prompt").agg(F.collect_list("x").alias("xs")).where(F.size("xs").between(3, 200))  # C2
+    few = items.groupBy("prompt").agg(F.count("*").alias("n")).where(F.col("n").between(3, 200)).select("prompt")  # C2, counted before anything is gathered
+    small = items.join(few, "prompt", "left_semi").groupBy("prompt").agg(F.collect_list("x").alias("xs"))
     grid = small.select("prompt", "xs", F.explode("xs").alias("i")).select("prompt", "i", F.explode("xs").alias("j")).where("i <> j")
     g = grid.withColumns({"a": F.least("i", "j"), "b": F.greatest("i", "j")}).join(w, ["prompt", "a", "b"], "left")
     return g.select("prompt", "i", "j", r6(F.coalesce(F.when(F.col("i") < F.col("j"), F.col("ab")).otherwise(F.col("ba")) / (F.col("ab") + F.col("ba")), F.lit(0.5))).alias("p"))
@@ -193,17 +194,14 @@ def j14(s, d):
 @R.add("j15_policy_simulation", sql("feat", "SELECT 1").replace(" SELECT 1", """, b AS (SELECT unnest([0.01, 0.1, 0.5, 1.0, 2.0, 5.0]) AS beta), x AS (SELECT prompt, beta, rm_reward, CAST(length AS DOUBLE) AS len, exp((rm_reward - max(rm_reward) OVER (PARTITION BY prompt, beta)) / beta) AS e FROM feat, b WHERE prompt IS NOT NULL AND rm_reward IS NOT NULL AND length IS NOT NULL),
  y AS (SELECT prompt, beta, len, e / sum(e) OVER (PARTITION BY prompt, beta) AS w FROM x), z AS (SELECT prompt, beta, sum(w * len) - avg(len) AS amplification, -sum(CASE WHEN w > 0 THEN w * ln(w) ELSE 0 END) AS entropy FROM y GROUP BY 1, 2) SELECT CAST(beta AS DOUBLE) AS beta, round(avg(amplification), 5) AS amplification, round(avg(entropy), 5) AS entropy FROM z GROUP BY 1"""))
 def j15(s, d):
-    """Softmax policies over rewards at several temperatures: how much longer answers get, and the entropy left. The
-    responses of a prompt are gathered once; every temperature is computed from that array."""
-    f = V.features(s, d).where("prompt is not null and rm_reward is not null and length is not null")
-    g = f.groupBy("prompt").agg(F.collect_list(F.struct(F.col("rm_reward").alias("r"), F.col("length").cast("double").alias("len"))).alias("xs"))
-    g = g.select("xs", F.array_max(F.transform("xs", lambda x: x["r"])).alias("top"), F.explode(F.array(*map(F.lit, (0.01, 0.1, 0.5, 1.0, 2.0, 5.0)))).alias("beta"))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    g = g.withColumn("e", F.transform("xs", lambda x: F.exp((x["r"] - F.col("top")) / F.col("beta"))))
-    g = g.withColumn("s", total(F.col("e"))).withColumn("w", F.transform("e", lambda x: x / F.col("s")))
-    amp = total(F.zip_with("w", "xs", lambda w, x: w * x["len"])) - total(F.transform("xs", lambda x: x["len"])) / F.size("xs")
-    ent = -total(F.transform("w", lambda w: F.when(w > 0, w * F.log(w)).otherwise(0.0)))
-    return g.groupBy("beta").agg(F.round(F.avg(amp), 5).alias("amplification"), F.round(F.avg(ent), 5).alias("entropy"))
+    """Softmax policies over rewards at several temperatures: how much longer answers get, and the entropy left. Sums only:
+    with e = exp((r - max) / beta) and s their sum, the entropy is ln s - sum(e ln e) / s; no prompt is gathered anywhere."""
+    f = V.features(s, d).where("prompt is not null and rm_reward is not null and length is not null").select("prompt", "rm_reward", F.col("length").cast("double").alias("len"))
+    f = f.join(f.groupBy("prompt").agg(F.max("rm_reward").alias("top")), "prompt")
+    f = f.withColumn("beta", F.explode(F.array(*map(F.lit, (0.01, 0.1, 0.5, 1.0, 2.0, 5.0))))).withColumn("z", (F.col("rm_reward") - F.col("top")) / F.col("beta"))
+    e, total = F.exp("z"), F.sum(F.exp("z"))
+    g = f.groupBy("prompt", "beta").agg((F.sum(e * F.col("len")) / total - F.avg("len")).alias("amp"), (F.log(total) - F.sum(e * F.col("z")) / total).alias("ent"))
+    return g.groupBy("beta").agg(F.round(F.avg("amp"), 5).alias("amplification"), F.round(F.avg("ent"), 5).alias("entropy"))
 
 
 @R.add("j16_quartile_gap", sql("feat", "SELECT 1").replace(" SELECT 1", ", qq AS (SELECT quantile_cont(dim_helpfulness, 0.25) AS lo, quantile_cont(dim_helpfulness, 0.75) AS hi FROM feat WHERE rm_reward IS NOT NULL) SELECT round(avg(CASE WHEN dim_helpfulness >= hi THEN rm_reward END) - avg(CASE WHEN dim_helpfulness <= lo THEN rm_reward END), 6) AS gap, round(ln(avg(CASE WHEN dim_helpfulness >= hi THEN exp(rm_reward) END)) - ln(avg(CASE WHEN dim_helpfulness <= lo THEN exp(rm_reward) END)), 6) AS exp_gap FROM feat, qq"))

@@ -58,6 +58,8 @@ def d3(s, d):
 @R.add("d7_greedy_match")
 def d7(s, d):
     """A prompt's responses in two deliveries matched one to one; only full permutations count."""
-    p = V.preferences(s, d).where("prompt is not null and chosen is not null and rejected is not null")
+    p = V.preferences(s, d).where("prompt is not null and chosen is not null and rejected is not null").select("prompt", "chosen", "rejected")
+    few = p.select("prompt", F.explode(F.array("chosen", "rejected")).alias("x")).groupBy("prompt").agg(F.countDistinct("x").alias("n")).where("n <= 100")
+    p = p.join(few, "prompt", "left_semi")  # C3: the operator is defined up to 100 responses
     a = p.groupBy("prompt").agg(F.array_sort(F.collect_set("chosen")).alias("left"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("chosen", "rejected"))))).alias("right"))
-    return matching.match_arrays(a.where(F.size("left") <= 100), "prompt")  # C3: the operator is defined up to 100 responses
+    return matching.match_arrays(a, "prompt")

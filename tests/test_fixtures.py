@@ -130,6 +130,17 @@ def test_closed_form_equals_solver(spark):
     assert r == pytest.approx(K.loop_ratio_v1(p - 0.5, off(4)))
 
 
+def test_hodge_kernel_on_complete_matrices():
+    """Gradient in closed form, the rest curl, nothing harmonic."""
+    g = np.random.default_rng(4)
+    for n in (3, 5, 7):
+        m = g.random((n, n))
+        f = np.triu(m, 1) + np.tril(1 - m.T, -1) + 0.5 * np.eye(n) - 0.5
+        r = f.sum(axis=1) / n
+        t, grad, curl, harm = K.hodge(f, off(n))
+        assert (t, grad, curl, harm) == pytest.approx(((f**2).sum(), 2 * n * (r @ r), (f**2).sum() - 2 * n * (r @ r), 0), abs=1e-9)
+
+
 def test_statistics(spark):
     d = spark.createDataFrame([(1.0, True), (2.0, True), (2.0, False), (3.0, False), (None, True)], "x double, g boolean")
     r = ST.mann_whitney(d, "x", "g").first()
