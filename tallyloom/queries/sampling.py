@@ -257,6 +257,7 @@ def a13(s, d):
     return parts[0].unionByName(parts[1]).where(F.col("place") < stop).withColumn("place", r6("place"))
 
 
+# The layout of a request (method, url, headings of the user message, token limit); the system text is a parameter.
 SYSTEM = "Name the strategy of the response as JSON."
 Z1 = f"""pl AS (SELECT feature_id, prompt, response_text FROM feat WHERE response_text IS NOT NULL ORDER BY {H('feature_id', 71)}, feature_id LIMIT 100)"""
 
