@@ -161,6 +161,18 @@ def test_blocks_do_not_change_scores(spark):
     assert len(best()) == 20 and best() == best(docs_a_block=7, queries_a_block=6)
 
 
+def test_blocks_copy_little(spark):
+    """At 6 GB a bucket holds some 280,000 completions and 900,000 answers; neither is copied often. Held apart they give the same pairs."""
+    shape, blocks = entity_matching.layout(dict.fromkeys(range(41), 280_000), dict.fromkeys(range(41), 900_000))
+    rows = sum(near * q + 900_000 * d for _, d, q, near, _ in shape)
+    assert rows <= 2 * 41 * 900_000 and blocks == sum(d * q for _, d, q, _, _ in shape) and [x[4] for x in shape] == list(range(0, blocks, blocks // 41))
+    rnd = random.Random(17)
+    comp = [(k, answer(rnd), f"m{k % 3}", 100 + k % 4) for k in range(50)]
+    q, c = matching_tables(spark, comp, [(k, t.lower().replace("counted", "saw"), m, d) for k, t, m, d in comp[:20]])
+    best = lambda **x: {(r["row_id"], r["completion_id"], round(r["total"], 9)) for r in entity_matching.candidates(q, c, **x).collect() if r["row_id"] == r["completion_id"]}
+    assert len(best()) == 20 and best() == best(docs_a_block=5, queries_a_block=2, hold=20)
+
+
 def test_frequencies_beyond_the_limit(spark):
     _, c = matching_tables(spark, [(1, "one two three four", "m", 1), (2, "one two three five", "m", 1), (3, "ONE two, six seven", "m", 1), (4, "one two six seven", "m", 1)], [])
     f = entity_matching.frequencies(c, 4)
