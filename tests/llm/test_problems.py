@@ -193,6 +193,18 @@ def test_far_in_time(spark):
     assert {(k, k) for k in range(10)} <= got and {(k, k) for k in range(20, 25)} <= got and not {(k, k) for k in range(25, 30)} & got
 
 
+def test_far_in_time_under_one_instruction(spark):
+    """What reaches the cut-off by text and instruction is found at any distance of time, and without dates on either side."""
+    rnd = random.Random(13)
+    comp = [(k, answer(rnd), f"m{k % 3}", None if k == 7 else 100) for k in range(60)]
+    shorter = lambda t: " ".join(w for n, w in enumerate(t.split()) if n % 6)
+    rows = [(k, f"Ask {k}!", shorter(comp[k][1]), f"m{k % 3}", None if k == 3 else 106 + 9 * k) for k in range(10)] + [(20, "ask 21", shorter(comp[20][1]), "m2", 300), (30, None, shorter(comp[30][1]), "m0", 300)]
+    entries = spark.createDataFrame([(f"ask {k}", d, [(k, m, t)]) for k, t, m, d in comp], "instruction string, day int, completions array<struct<completion_id: bigint, model: string, response: string>>").withColumn("collected_at", F.timestamp_seconds(F.col("day") * 86400))
+    pairs = spark.createDataFrame([(k, i, t, None, m, None, d) for k, i, t, m, d in rows], "row_id bigint, instruction string, chosen string, reject string, chosen_model string, reject_model string, day int").withColumn("created_at", F.timestamp_seconds(F.col("day") * 86400))
+    q, c = entity_matching.sides(pairs), entity_matching.completions(entries)
+    assert {(r["row_id"], r["completion_id"]) for r in entity_matching.match(entity_matching.candidates(q, c)).collect() if r["row_id"] < 20} == {(k, k) for k in range(10)}
+
+
 def test_probes_are_exact():
     """Whatever text holds the share of a query's weight holds one of its probes."""
     rnd = random.Random(11)
