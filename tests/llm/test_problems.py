@@ -183,6 +183,15 @@ def test_frequencies_beyond_the_limit(spark):
     assert entity_matching.has(f.bits, held.term).all() and not entity_matching.has(f.bits, entity_matching._terms([["nowhere", "one", "one", "one"]], 4, entity_matching.Hashes()).term).all()
 
 
+def test_filter_grows(spark):
+    """The more terms, the more bits; none of them is missed, and hardly another passes."""
+    terms = spark.range(3000).select(F.xxhash64("id").alias("t"))
+    bits = entity_matching.filter_of(terms, "t", 3000, fewest=64)
+    own = terms.toArrow()["t"].to_numpy().view(np.uint64)
+    other = spark.range(5000, 8000).select(F.xxhash64("id").alias("t")).toArrow()["t"].to_numpy().view(np.uint64)
+    assert len(bits) * 64 == 1 << 16 and entity_matching.has(bits, own).all() and entity_matching.has(bits, other).mean() < 0.08
+
+
 def test_far_in_time(spark):
     """Near-identical texts meet at any distance of time; looser ones only near; a NULL date is far from all."""
     rnd = random.Random(9)
