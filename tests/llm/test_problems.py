@@ -214,6 +214,39 @@ def test_far_in_time_under_one_instruction(spark):
     assert {(r["row_id"], r["completion_id"]) for r in entity_matching.match(entity_matching.candidates(q, c)).collect() if r["row_id"] < 20} == {(k, k) for k in range(10)}
 
 
+def test_instructions_are_read_alone_and_once(spark, tmp_path):
+    """Which instructions have pairs far in time is told without a text, and by one run of the pattern a row."""
+    row = (1, "Name three boats.", "a b c d", "e f g h", "m", "n", 100)
+    rows = spark.createDataFrame([row], "row_id bigint, instruction string, chosen string, reject string, chosen_model string, reject_model string, day int")
+    rows.select("*", F.timestamp_seconds(F.col("day") * 86400).alias("created_at")).drop("day").write.parquet(str(tmp_path / "t"))
+    q = entity_matching.sides(spark.read.parquet(str(tmp_path / "t")))
+    plan = q.groupBy("ins").agg(F.min("day"))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"ReadSchema: struct<([^>]*)>", plan)[1] == "instruction:string,created_at:timestamp" and plan.count("regexp_replace") == 1
+    assert {tuple(r) for r in q.select("row_id", "side", "text", "model").collect()} == {(1, "chosen", "a b c d", "m"), (1, "reject", "e f g h", "n")}
+
+
+def test_terms_by_hand():
+    """Against counting words and shingles one by one, in plain and other text, over lots of any size."""
+    rng = random.Random(7)
+    texts = [[rng.choice(["a", "Bb", "c1", "zürich", "x" * 40, "привет", "9"]) for _ in range(rng.choice([0, 3, 4, 5, 30]))] for _ in range(300)]
+    texts = [rng.choice([" ", "-", " _\n"]).join(ws) + rng.choice(["", "!", "é"]) for ws in texts]
+    words = [re.findall(r"[^\W_]+", x.lower()) for x in texts]
+    assert [entity_matching._words(x) for x in texts] == words
+    hashes = entity_matching.Hashes()
+    number = dict(zip(every := sorted({w for ws in words for w in ws}), hashes(w.encode() for w in every)[0].tolist()))
+    assert len(set(number.values())) == len(every)
+    hashes.LOT = 100
+    t = entity_matching._plain_terms(map(entity_matching._plain, texts), 4, hashes)
+    assert (np.diff(t.text) >= 0).all()
+    for k, ws in enumerate(words):
+        own = [x[t.text == k] for x in t]
+        n = Counter(ws) if len(ws) >= 4 else Counter()
+        assert dict(zip(own[1][own[2] == 0].tolist(), own[3][own[2] == 0].tolist())) == {number[w]: x for w, x in n.items()}
+        n = Counter(zip(*(ws[i:] for i in range(5))))
+        assert sorted(own[3][own[2] == 1].tolist()) == sorted(n.values())
+    assert len(np.unique(t.term[t.kind == 1])) == len({s for ws in words if len(ws) >= 4 for s in zip(*(ws[i:] for i in range(5)))})
+
+
 def test_probes_are_exact():
     """Whatever text holds the share of a query's weight holds one of its probes."""
     rnd = random.Random(11)
